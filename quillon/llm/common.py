@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_folder, written  # noqa: F401
+
 #: log2 of the bits in a membership filter: 2 MB, whatever the input's size.
 FILTER_BITS = 24
 _PAGE = 32_768  # bits in one bitmap of bitmap_construct_agg
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a new one only where the session names none (tests, local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again.
-
-    It cuts the lineage, survives a lost executor, is computed once however often it is read, and its size is
-    known to the planner, which broadcasts it only below spark.sql.autoBroadcastJoinThreshold.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,11 +75,3 @@ def connected(links: DataFrame) -> DataFrame:
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return written(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
 
-
-def whole_row(df: DataFrame, name: str = "row") -> DataFrame:
-    """All columns in one struct, so that no other column can clash with them."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -110,9 +109,6 @@ def shingles(b: bytes, width: int = 5) -> np.ndarray:
     return np.unique(_mixed(_windows(_mixed(h), short) + np.uint64(short)))
 
 
-def flat(parts: list) -> list:
-    return list(chain.from_iterable(parts))
-
 
 #: One-permutation hashing: the hash range is cut into BINS bins, and BAND bins make a band.
 BINS, BAND = 128, 5
