@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch: two whole texts a row must fit in a worker many times over.
+BATCH_ROWS = 500
+
+
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow in small batches. Texts have no bound, so the rows of a batch get one."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 class Members:
     """A filter of fixed size over hashes of keys: no false negatives, few false positives.
 

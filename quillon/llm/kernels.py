@@ -11,7 +11,7 @@ import xxhash
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: Entries after which a worker's table of words is emptied between two texts.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 150_000
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .kernels import texts_of
 
 #: Phrases of the contract, found exactly, and their labels.
@@ -158,4 +159,4 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
     results; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scanned(phrases or PHRASES, notices or NOTICES), f"doc_id long, {RESULT}")
+    return in_batches(rows, _scanned(phrases or PHRASES, notices or NOTICES), f"doc_id long, {RESULT}")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import Members, connected, written
+from .common import Members, connected, in_batches, written
 
 PERCENT = 85
 #: Centres that a bucket gets in a round after the first; all others follow in later rounds.
@@ -29,7 +29,7 @@ _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1
 
 def signatures(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(kernels.by_text(kernels.signature, _SIGNATURE, ["doc_id"]), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return in_batches(rows, kernels.by_text(kernels.signature, _SIGNATURE, ["doc_id"]), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -42,7 +42,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     texts = Members(ends, "id").marked(texts, "wanted", F.col("id")).where("wanted").select("id", "text")
     one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
     both = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(kernels.linked(percent), "a long, b long")
+    return in_batches(both.select("a", "b", "a_text", "b_text"), kernels.linked(percent), "a long, b long")
 
 
 def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:

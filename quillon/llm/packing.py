@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .kernels import texts_of
 
 CAPACITY = 2048
@@ -136,7 +137,7 @@ def harmonic_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_packed(tokenizer, capacity), SCHEMA)
+    return in_batches(rows, _packed(tokenizer, capacity), SCHEMA)
 
 
 def default_tokenizer() -> str:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .kernels import texts_of
 
 MODEL = "piece_bpe_32k.model"
@@ -239,7 +240,7 @@ def n_best_encoding(docs: DataFrame, model: str, n: int = N_BEST, keep_ids: bool
     empty segmentation with score 0. Equal rows get equal results; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(model, n, keep_ids), f"doc_id long, {RESULT}" + (", ids array<array<int>>" if keep_ids else ""))
+    return in_batches(rows, _encoded(model, n, keep_ids), f"doc_id long, {RESULT}" + (", ids array<array<int>>" if keep_ids else ""))
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
@@ -251,7 +252,7 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
             texts = [None if x is None else vocabulary.decode(x) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return in_batches(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")
 
 
 def default_model() -> str:

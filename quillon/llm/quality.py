@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import written
+from .common import in_batches, written
 
 #: Rules: the share in thousandths that is judged, the least spread that counts, and whether low values fail too.
 RULES = {"word_length": (500, True), "symbols": (50, False), "repeated_lines": (150, False)}
@@ -40,7 +40,7 @@ def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     arrow = pa.schema([pa.field(f.name, f.type) for f in arrow])
-    return kept.mapInArrow(kernels.by_text(kernels.text_stats, arrow, list(keep)), schema)
+    return in_batches(kept, kernels.by_text(kernels.text_stats, arrow, list(keep)), schema)
 
 
 def bucket(v: str) -> str:
@@ -122,7 +122,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(held.select(*names, "text").schema)
     out = pa.schema([arrow.field(n) for n in names] + [pa.field(x.split()[0], pa.int64()) for x in STATS.split(", ")])
     ddl = ", ".join([*(f"`{n}` {types[n]}" for n in names), STATS])
-    stats = held.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(kernels.by_text(kernels.text_stats, out, names), ddl)
+    stats = in_batches(held.select(*names, F.col("text").cast("string").alias("text")), kernels.by_text(kernels.text_stats, out, names), ddl)
     return judged(written(stats, "stats")).where("kept").select("row.*")
 
 

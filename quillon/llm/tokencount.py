@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .kernels import texts_of
 from .pieces import _CHUNK, BYTE_SCORE, Vocabulary, prepared
 
@@ -91,4 +92,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_counted(model), f"doc_id long, {RESULT}")
+    return in_batches(rows, _counted(model), f"doc_id long, {RESULT}")
