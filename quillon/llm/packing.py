@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,7 +26,9 @@ CAPACITY = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: White-space chunks whose ids a worker remembers; beyond that it starts anew.
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 800_000
+#: Marks that end a word; the tokenizer never joins them with the letters before.
+_MARKS = ".,;:!?|"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -43,8 +46,15 @@ class Chunks(dict):
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = b"".join(x.to_bytes(4, "little") for x in ids)
+        word = chunk.decode("utf-8", "replace")
+        head = word.rstrip(_MARKS)
+        if len(head) < len(word) and normalize("NFC", head).lower().isalpha():  # letters and marks behind them are tokens of their own
+            packed = self[head.encode()] + self[word[len(head) :].encode()]
+        elif word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lowers letters first
+            packed = self[chunk.lower()]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            packed = b"".join([x.to_bytes(4, "little") for x in ids])
         if len(chunk) <= 100:
             self[chunk] = packed
         return packed
