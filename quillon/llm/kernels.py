@@ -111,7 +111,7 @@ def shingles(b: bytes, width: int = 5) -> np.ndarray:
 
 
 #: One-permutation hashing: the hash range is cut into BINS bins, and BAND bins make a band.
-BINS, BAND = 128, 5
+BINS, BAND = 512, 10
 _EDGES = np.array([(i << 64) // BINS for i in range(BINS)], np.uint64)
 _PROBES = np.random.default_rng(7).integers(0, BINS, (BINS, 2048))
 _FOR_BANDS = np.random.default_rng(9).integers(1, 2**63, (BINS // BAND, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
