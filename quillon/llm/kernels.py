@@ -168,3 +168,31 @@ def linked(percent: int) -> Callable:
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
+
+
+def strangers(percent: int) -> Callable:
+    """For applyInArrow over a block (node, label, role, set) of a bucket: links (a, b) between its components.
+
+    Rows with bit 2 of role are held against rows with bit 1: each row's set marks its hashes among all those of the
+    block, and one sum over the marks gives its intersections with all others.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in block["set"].to_pylist()]
+        node, label, role = (block[c].to_numpy() for c in ("node", "label", "role"))
+        sizes = np.array([len(x) for x in sets])
+        _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        marks, a, b = np.zeros(len(numbers), np.int64), [], []
+        for i in np.flatnonzero(role & 2):
+            own = numbers[starts[i] : ends[i]]
+            marks[own] = 1
+            common = np.add.reduceat(marks[numbers], starts)
+            marks[own] = 0
+            near = (role & 1 > 0) & (label != label[i]) & (100 * common >= percent * (sizes + sizes[i] - common))
+            b.extend(node[near].tolist())
+            a.extend([int(node[i])] * int(near.sum()))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run

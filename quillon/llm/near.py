@@ -5,9 +5,10 @@
 2. In each bucket all members are paired with one centre: the member whose buckets are the fullest, which is the one
    that most others were derived from. A bucket of n gives n - 1 pairs.
 3. Pairs are confirmed on the whole sets, and components are built from the links.
-4. Where a bucket still holds several components, the members outside its largest one become centres in turn, STRAYS
-   of them a round, until each has been. So every two members of a bucket are either known to be connected or have
-   been compared: star-shaped candidates lose no link that the buckets hold.
+4. Where a bucket still holds several components, each member outside its largest one is held against all members of
+   other components: in blocks of at most BLOCK shingles or so, whose sets meet in one task and which give links
+   only, never pairs. So every two members of a bucket are either known to be connected or have been compared on
+   whole sets: star-shaped candidates lose no link that the buckets hold.
 
 Two texts at the threshold share a bucket with a chance of 1 - (1 - 0.85**10)**51, that is all but 14 in a million;
 at a similarity of 0.5 it is 5 percent, at a third 1 in a thousand, so texts that share a passage seldom meet.
@@ -23,8 +24,9 @@ from . import kernels
 from .common import Members, connected, in_batches, written
 
 PERCENT = 85
-#: Centres that a bucket gets in a round after the first; all others follow in later rounds.
-STRAYS = 32
+#: Shingles of a bucket's members that one task holds at once; larger buckets are dealt to several tasks.
+BLOCK = 1 << 20
+_SET = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
@@ -63,29 +65,23 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
 
     label = F.coalesce("component", "node").alias("label")
     now = placed.join(found, "node", "left").select("bucket", "node", "n", label)
-    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    now = written(now.join(written(mixed, "mixed"), "bucket"), "open")
-    parts = now.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
-    parts = parts.agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
-    parts = parts.select("bucket", F.col("top.label").alias("top"), F.expr(f"ceil((all - top.c) / {STRAYS})").cast("long").alias("rounds"))
-    parts = written(parts, "parts")
-    rounds = parts.agg(F.max("rounds")).first()[0] or 0
-    stray = now.join(parts, "bucket").where("label <> top")
-    stray = stray.select("bucket", F.col("node").alias("s"), F.col("n").alias("m"), F.col("label").alias("s_label"), F.expr("pmod(xxhash64(node, bucket), rounds)").alias("turn"))
-    stray = written(stray, "strays")
-    more = []
-    for turn in range(rounds):
-        pairs = now.join(stray.where(F.col("turn") == turn), "bucket").where(f"label <> s_label and {fits}")
-        pairs = pairs.select(F.least("s", "node").alias("a"), F.greatest("s", "node").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = written(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            more.append(written(_confirmed(docs, pairs, percent), "links"))
-    if not any(not x.isEmpty() for x in more):
-        return found
-    for x in more:
-        links = links.union(x)
-    return connected(links)
+    parts = written(now.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("size")), "labels").groupBy("bucket")
+    parts = parts.agg(F.max(F.struct("c", "label", "size")).alias("top"), F.sum("c").alias("all"), F.sum("size").alias("size")).where("all > top.c")
+    blocks = (F.ceil(F.col(c) / BLOCK).cast("int").alias(name) for c, name in (("size", "rows"), ("rest", "columns")))
+    parts = written(parts.withColumn("rest", F.expr("size - top.size")).select("bucket", F.col("top.label").alias("top"), *blocks), "open")
+    now = now.join(parts, "bucket").withColumn("deal", F.xxhash64("node", "bucket"))
+    # Bit 1 of role: a member; bit 2: one that is held against the members of its block.
+    member = "transform(sequence(0, columns - 1), y -> struct(cast(pmod(deal, rows) as int) as x, y, 1 as role))"
+    stray = "transform(sequence(0, rows - 1), x -> struct(x, cast(pmod(deal, columns) as int) as y, 2 as role))"
+    whole = "array(struct(0 as x, 0 as y, if(label = top, 1, 3) as role))"
+    cells = F.expr(f"case when rows = 1 and columns = 1 then {whole} when label = top then {member} else concat({member}, {stray}) end")
+    now = written(now.select("bucket", "node", "label", F.explode(cells).alias("cell")).select("bucket", "node", "label", "cell.*"), "blocks")
+    ids = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    ids = Members(now.select("node").distinct(), "node").marked(ids, "wanted", F.col("node")).where("wanted").select("node", "text")
+    sets = in_batches(ids, kernels.by_text(lambda b: (kernels.shingles(b).tobytes(),), _SET, ["node"]), "node long, set binary").where("length(set) > 0")
+    more = now.join(sets, "node").groupBy("bucket", "x", "y").applyInArrow(kernels.strangers(percent), "a long, b long")
+    more = written(more, "links")
+    return found if more.isEmpty() else connected(links.union(more))
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
