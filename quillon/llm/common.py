@@ -56,12 +56,16 @@ class Members:
         return joined.select(*own, held.alias(flag))
 
 
+#: Links that a task of connected() writes: few links get few files.
+LINKS_A_TASK = 500_000
+
+
 def connected(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): (node, component) for each node that has a link; component is the smallest node.
 
-    Alternating large and small stars; each round is two aggregates and a join, and its links are written to the
-    shared folder. No neighbourhood is collected: a node with very many links is aggregated map-side, and the join
-    back is one that adaptive execution can split.
+    Alternating large and small stars; each round is two aggregates and two joins, and its links are written to the
+    shared folder, in as many files as their number asks for. No neighbourhood is collected: a node with very many
+    links is aggregated map-side, and the join back is one that adaptive execution can split.
     """
     def oriented(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -70,18 +74,21 @@ def connected(links: DataFrame) -> DataFrame:
         r = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(r)
 
+    def put(df: DataFrame, name: str) -> DataFrame:
+        return written(df.coalesce(-(-after[0] // LINKS_A_TASK)), name)
+
     now = written(oriented(links), "links")
     before, after = None, state(now)
     while after[0] and before != after:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(oriented(large), "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = put(oriented(large), "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = least.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = written(oriented(small), "links")
+        now = put(oriented(small), "links")
         before, after = after, state(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return written(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
-
+    every = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    return put(every, "components") if after[0] else written(every, "components")
