@@ -5,10 +5,10 @@
 2. In each bucket all members are paired with one centre: the member whose buckets are the fullest, which is the one
    that most others were derived from. A bucket of n gives n - 1 pairs.
 3. Pairs are confirmed on the whole sets, and components are built from the links.
-4. Where a bucket still holds several components, each member outside its largest one is held against all members of
-   other components: in blocks of at most BLOCK shingles or so, whose sets meet in one task and which give links
-   only, never pairs. So every two members of a bucket are either known to be connected or have been compared on
-   whole sets: star-shaped candidates lose no link that the buckets hold.
+4. Where a bucket without its centre still holds several components, each member outside its largest one is held
+   against all members of other components: in blocks of at most BLOCK shingles or so, whose sets meet in one task
+   and which give links only, never pairs. So every two members of a bucket are either known to be connected or have
+   been compared on whole sets: star-shaped candidates lose no link that the buckets hold.
 
 Two texts at the threshold share a bucket with a chance of 1 - (1 - 0.85**10)**51, that is all but 14 in a million;
 at a similarity of 0.5 it is 5 percent, at a third 1 in a thousand, so texts that share a passage seldom meet.
@@ -51,9 +51,14 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) for each representative that is linked with another. reps: (node, n, bands)."""
     placed = reps.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    placed = written(placed.join(written(shared, "buckets"), "bucket"), "placed")
+    shared = written(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    met = Members(shared, "bucket").marked(placed, "met", F.col("bucket")).where("met").drop("met")
+    placed = written(met.join(shared, "bucket"), "placed")
     scores = written(placed.groupBy("node").agg(F.sum("members").alias("score")), "scores")
+    # Buckets with the same members have the same centre and the same pairs: one of them stays.
+    prints = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"p{i}") for i in (1, 2)]
+    alike = placed.groupBy("bucket", "members").agg(*prints).groupBy("p1", "p2", "members").agg(F.min("bucket").alias("bucket"))
+    placed = written(placed.join(alike.select("bucket"), "bucket"), "different")
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # else the sizes alone rule a link out
     scored = placed.join(scores, "node")
     centres = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "n")).alias("c"))
@@ -64,7 +69,8 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
     found = connected(links)
 
     label = F.coalesce("component", "node").alias("label")
-    now = placed.join(found, "node", "left").select("bucket", "node", "n", label)
+    others = placed.join(centres, "bucket").where("node <> a")  # the centre has been compared with all of them
+    now = written(others.join(found, "node", "left").select("bucket", "node", "n", label), "others")
     parts = written(now.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("size")), "labels").groupBy("bucket")
     parts = parts.agg(F.max(F.struct("c", "label", "size")).alias("top"), F.sum("c").alias("all"), F.sum("size").alias("size")).where("all > top.c")
     blocks = (F.ceil(F.col(c) / BLOCK).cast("int").alias(name) for c, name in (("size", "rows"), ("rest", "columns")))
@@ -96,7 +102,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     classes = written(classes, "classes")
     reps = usable.join(classes.withColumn("doc_id", F.col("node")), ["d1", "d2", "doc_id"])
-    reps = reps.select("node", F.col("n_shingles").alias("n"), "bands")
+    reps = written(reps.select("node", F.col("n_shingles").alias("n"), "bands"), "representatives")
     found = near_links(docs, reps, percent)
     named = classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
