@@ -9,6 +9,10 @@ Lines with equal tokens form a class, which is judged once. Two classes can only
 close (length filter), if they share one of their rarest tokens (prefix filter), and if enough tokens are left after
 the place where they share it (positional filter). The pairs that pass are verified on their whole token sets, which
 are computed again for just these lines.
+
+A line asks for its earliest similar line only. So it is held against the earliest line of each token first; what it
+matches there bounds the rest, and only lines before that bound are candidates still. Variants of one line that match
+the earliest of them so make one pair each and not all pairs.
 """
 
 from __future__ import annotations
@@ -47,18 +51,19 @@ def _levels(docs: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<long>")
 
 
-def _lines(docs: DataFrame, levels: Column) -> DataFrame:
-    """(doc_id, line_no, tokens): lines with a word, their distinct tokens from the rarest."""
+def _lines(docs: DataFrame, levels: Column, only: Members | None = None) -> DataFrame:
+    """(doc_id, line_no, tokens, line_hash): lines with a word, their distinct tokens from the rarest; of those in only."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    split = split.where(F.expr(f"length(trim(both ' {_SPACE}' from line)) > 0"))
+    if only is not None:
+        split = only.marked(split, "hit", F.xxhash64("line")).where("hit")
 
-    def token(h: Column) -> Column:
-        level = F.get(levels, F.pmod(h, F.lit(SLOTS)).cast("int"))
-        return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    def token(word: Column) -> Column:
+        level = F.get(levels, F.pmod(_hash(word), F.lit(SLOTS)).cast("int"))
+        return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(_hash(word), 7))
 
-    words = F.filter(_words(F.col("line")), lambda w: w != F.lit(""))
-    hashes = F.array_distinct(F.transform(words, _hash))
-    out = split.select("doc_id", "line_no", hashes.alias("h")).where(F.size("h") > 0)
-    return out.select("doc_id", "line_no", F.sort_array(F.transform("h", token)).alias("tokens"))
+    words = F.array_remove(_words(F.col("line")), "")
+    return split.select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(words, token))).alias("tokens"), F.xxhash64("line").alias("line_hash"))
 
 
 def _keys() -> list[Column]:
@@ -78,37 +83,48 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # With p = n - ceil(percent n / 100) + 1 tokens, a line shares one with each similar line; below least, only equal sets are.
     least = -(-percent // (100 - percent))
     width = f"n - cast(ceil({percent} * n / 100) as int) + 1"
-    sized = lines.select("doc_id", "line_no", *_keys(), F.size("tokens").alias("n"), "tokens")
-    held = sized.select("doc_id", "line_no", "k1", "k2", "n", F.expr(f"case when n >= {least} then slice(tokens, 1, {width}) end").alias("prefix"))
+    sized = lines.select("doc_id", "line_no", "line_hash", *_keys(), F.size("tokens").alias("n"), "tokens")
+    held = sized.select("doc_id", "line_no", "line_hash", "k1", "k2", "n", F.expr(f"case when n >= {least} then slice(tokens, 1, {width}) end").alias("prefix"))
     held = written(held.withColumn("uid", F.monotonically_increasing_id()), "lines")
-    least_of = F.min(F.expr("struct(doc_id, line_no, uid, n, prefix)")).alias("f")
+    least_of = F.min(F.expr("struct(doc_id, line_no, uid, line_hash, n, prefix)")).alias("f")
     classes = written(held.groupBy("k1", "k2").agg(least_of).select("k1", "k2", "f.*"), "classes")
 
-    index = classes.where("prefix is not null").select("uid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = index.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    index = Members(shared, "token").marked(index, "hit", F.col("token")).where("hit").drop("hit")
-    index = written(index, "index")
-    x, y = (index.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("uid", "n", "pos")]) for s in "xy")
-    need = f"ceil({percent} * (n_x + n_y) / {100 + percent})"
-    close = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    enough = f"1 + least(n_x - pos_x - 1, n_y - pos_y - 1) >= {need}"
-    pairs = written(x.join(y, "token").where(f"uid_x < uid_y and {close} and {enough}").select("uid_x", "uid_y").distinct(), "pairs")
-
-    ends = pairs.select(F.explode(F.array("uid_x", "uid_y")).alias("uid")).distinct()
-    wanted = written(classes.join(ends, "uid", "left_semi").select("uid", "k1", "k2", "doc_id", "line_no"), "wanted")
-    some = Members(wanted.select("doc_id").distinct(), "doc_id").marked(docs.select("doc_id", "text"), "hit", F.col("doc_id").cast("long")).where("hit")
-    again = _lines(some, levels).select(*_keys(), "doc_id", "line_no", "tokens")
-    on = [again[c].eqNullSafe(wanted[c]) for c in ("k1", "k2", "doc_id", "line_no")]
-    sets = again.join(wanted, on).select("uid", "tokens").dropDuplicates(["uid"])
-    sets = written(sets, "sets")
-    both = pairs.join(sets.select(F.col("uid").alias("uid_x"), F.col("tokens").alias("a")), "uid_x")
-    both = both.join(sets.select(F.col("uid").alias("uid_y"), F.col("tokens").alias("b")), "uid_y")
-    common = F.size(F.array_intersect("a", "b")).alias("c")
-    verified = both.select("uid_x", "uid_y", common, (F.size("a") + F.size("b")).alias("s")).where(f"100 * c >= {percent} * (s - c)")
-    first = classes.select("uid", F.expr(_FIRST).alias("first"))
-    links = verified.select(F.explode(F.array(F.struct(F.col("uid_x").alias("uid"), F.col("uid_y").alias("other")), F.struct(F.col("uid_y").alias("uid"), F.col("uid_x").alias("other")))).alias("l")).select("l.*")
-    named = links.join(first.withColumnRenamed("uid", "other").withColumnRenamed("first", "match"), "other")
-    best = written(named.groupBy("uid").agg(F.min("match").alias("match")), "matches")
+    index = classes.where("prefix is not null").select("uid", "n", F.expr(_FIRST).alias("at"), F.posexplode("prefix").alias("pos", "token"))
+    heads = index.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "pos")).alias("head")).where("c > 1")
+    heads = written(heads.select("token", "head"), "heads")
+    index = Members(heads, "token").marked(index, "hit", F.col("token")).where("hit").drop("hit")
+    index = written(index.join(heads, "token"), "index")
+
+    def fits(y: str) -> Column:
+        need = f"ceil({percent} * (n + {y}.n) / {100 + percent})"
+        close = f"100 * least(n, {y}.n) >= {percent} * greatest(n, {y}.n)"
+        return F.expr(f"{close} and 1 + least(n - pos - 1, {y}.n - {y}.pos - 1) >= {need}")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(uid, match): for each line the earliest of its partners in pairs (uid, other) that is similar enough."""
+        pairs = written(pairs.distinct(), "pairs")
+        ends = pairs.select(F.explode(F.array("uid", "other.uid")).alias("uid")).distinct()
+        wanted = written(classes.join(ends, "uid", "left_semi").select("uid", "k1", "k2", "doc_id", "line_no", "line_hash"), "wanted")
+        some = docs.select("doc_id", "text")
+        again = _lines(some, levels, Members(wanted, "line_hash")).select(*_keys(), "doc_id", "line_no", "tokens")
+        on = [again[c].eqNullSafe(wanted[c]) for c in ("k1", "k2", "doc_id", "line_no")]
+        sets = written(again.join(wanted, on).select("uid", "tokens").dropDuplicates(["uid"]), "sets")
+        both = pairs.join(sets.withColumnRenamed("tokens", "a"), "uid")
+        both = both.join(sets.select(F.col("uid").alias("partner"), F.col("tokens").alias("b")), F.col("other.uid") == F.col("partner"))
+        common = F.size(F.array_intersect("a", "b")).alias("c")
+        both = both.select(pairs["uid"], "other", common, (F.size("a") + F.size("b")).alias("s")).where(f"100 * c >= {percent} * (s - c)")
+        return written(both.groupBy("uid").agg(F.min("other").alias("match")), "matches")
+
+    # First each line is held against the earliest line of each of its buckets; then, in buckets whose earliest line
+    # comes before the best match so far, against the others that would be a better one.
+    stars = index.where((F.col("head.at") < F.col("at")) & fits("head")).select("uid", F.col("head.at").alias("other"))
+    best = verified(stars)
+    left = index.join(best, "uid", "left").withColumn("bound", F.coalesce("match", "at")).where("head.at < bound")
+    left = written(left.select("uid", "n", "pos", "token", "bound"), "left")
+    later = index.where("head.at < at").select(F.col("token").alias("shared"), F.struct("at", "n", "pos").alias("y"))
+    rest = left.join(later, (F.col("token") == F.col("shared")) & (F.col("y.at") < F.col("bound")) & fits("y"))
+    more = verified(rest.select("uid", F.col("y.at").alias("other")))
+    best = best.union(more).groupBy("uid").agg(F.min("match").alias("match"))
     verdict = classes.join(best, "uid", "left").select("k1", "k2", F.expr(_FIRST).alias("first"), "match")
     verdict = written(verdict, "verdicts")
     joined = held.join(verdict, ["k1", "k2"])
