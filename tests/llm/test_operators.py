@@ -274,6 +274,23 @@ def test_lines_equal_brute_force(spark):
     assert texts[100] is None and lines.line_dedup(empty(spark)).collect() == []
 
 
+def test_variants_of_a_line_equal_brute_force(spark):
+    """Variants that drift away from the first one: the earliest line of a token is often not similar itself."""
+    rng = random.Random(23)
+    rows, line = [], [f"v{i}" for i in range(30)]
+    for i in range(250):
+        if i % 5 == 0:
+            line[rng.randrange(30)] = f"d{rng.randrange(60)}"
+        own = list(line)
+        own[rng.randrange(30)] = f"d{rng.randrange(60)}"
+        rows.append((i, " ".join(own)))
+    rng.shuffle(rows)
+    found = lines.line_dedup(odd_docs(spark, rows)).collect()
+    got = {(r["doc_id"], r["line_no"]): None if r["kept"] else (r["match_doc"], r["match_line"]) for r in found}
+    assert got == brute_lines(sorted(rows))
+    assert any(m and m[0] > 20 for m in got.values())
+
+
 def test_lines_take_odd_rows(spark):
     docs = odd_docs(spark)
     found = lines.line_dedup(docs).collect()
