@@ -49,20 +49,28 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) for each representative that is linked with another. reps: (node, n, bands)."""
+    """(node, component) for each representative that is linked with another. reps: (node, n, bands).
+
+    A node with several texts has a row for each; their sizes become the bounds least and most of its sizes.
+    """
     placed = reps.select("node", "n", F.explode("bands").alias("bucket"))
     shared = written(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     met = Members(shared, "bucket").marked(placed, "met", F.col("bucket")).where("met").drop("met")
-    placed = written(met.join(shared, "bucket"), "placed")
-    scores = written(placed.groupBy("node").agg(F.sum("members").alias("score")), "scores")
-    # Buckets with the same members have the same centre and the same pairs: one of them stays.
+    sizes = (F.min("n").alias("least"), F.max("n").alias("most"))
+    placed = written(met.join(shared, "bucket").groupBy("bucket", "node").agg(F.max("members").alias("members"), *sizes), "placed")
+    scores = placed.groupBy("node").agg(F.sum("members").alias("score"), F.min("least").alias("least"), F.max("most").alias("most"))
+    scores = written(scores, "scores")
+    # Buckets with the same members have the same centre and the same pairs: one of them stays. A node is in a bucket
+    # once, else it would cancel out.
     prints = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"p{i}") for i in (1, 2)]
-    alike = placed.groupBy("bucket", "members").agg(*prints).groupBy("p1", "p2", "members").agg(F.min("bucket").alias("bucket"))
-    placed = written(placed.join(alike.select("bucket"), "bucket"), "different")
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # else the sizes alone rule a link out
-    scored = placed.join(scores, "node")
-    centres = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "n")).alias("c"))
-    centres = written(centres.select("bucket", (-F.col("c.minus")).alias("a"), F.col("c.n").alias("m")), "centres")
+    alike = placed.groupBy("bucket").agg(F.count("*").alias("members"), *prints).where("members > 1")
+    alike = alike.groupBy("p1", "p2", "members").agg(F.min("bucket").alias("bucket"))
+    placed = placed.join(alike.select("bucket"), "bucket").select("bucket", "node")
+    placed = written(placed.join(scores, "node"), "different")
+    fits = f"100 * least(most, a_most) >= {percent} * greatest(least, a_least)"  # else the sizes alone rule a link out
+    centres = placed.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "least", "most")).alias("c"))
+    centres = centres.select("bucket", (-F.col("c.minus")).alias("a"), F.col("c.least").alias("a_least"), F.col("c.most").alias("a_most"))
+    centres = written(centres, "centres")
     stars = placed.join(centres, "bucket").where(f"node <> a and {fits}").select("a", F.col("node").alias("b")).distinct()
     tested = written(stars, "stars")
     links = written(_confirmed(docs, tested, percent), "links")
@@ -70,7 +78,7 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
 
     label = F.coalesce("component", "node").alias("label")
     others = placed.join(centres, "bucket").where("node <> a")  # the centre has been compared with all of them
-    now = written(others.join(found, "node", "left").select("bucket", "node", "n", label), "others")
+    now = written(others.join(found, "node", "left").select("bucket", "node", F.col("most").alias("n"), label), "others")
     parts = written(now.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("size")), "labels").groupBy("bucket")
     parts = parts.agg(F.max(F.struct("c", "label", "size")).alias("top"), F.sum("c").alias("all"), F.sum("size").alias("size")).where("all > top.c")
     blocks = (F.ceil(F.col(c) / BLOCK).cast("int").alias(name) for c, name in (("size", "rows"), ("rest", "columns")))
@@ -102,6 +110,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     classes = written(classes, "classes")
     reps = usable.join(classes.withColumn("doc_id", F.col("node")), ["d1", "d2", "doc_id"])
+    reps = reps.dropDuplicates(["d1", "d2", "doc_id"])  # a row may repeat
     reps = written(reps.select("node", F.col("n_shingles").alias("n"), "bands"), "representatives")
     found = near_links(docs, reps, percent)
     named = classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))

@@ -128,6 +128,27 @@ def test_near_links_a_chain_and_a_hub(spark):
     assert got == want and got[len(hub)][1] == len(hub) and got[len(rows) - 1][1] == len(rows) - 1
 
 
+def test_near_equals_brute_force_on_repeated_rows(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        base = [f"r{rng.randrange(5000)}" for _ in range(60)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base[:59] + ["z"]))]
+    rows += [(2000 + i, rows[2 * i][1]) for i in range(20)]
+    want = brute.near(rows)
+    for docs in (odd_docs(spark, rows + rows), odd_docs(spark, rows + rows[::2] + rows[::3])):
+        found = near.near_dedup(docs).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want and len(found) == docs.count()
+
+
+def test_near_links_each_text_of_a_document(spark):
+    """Document 1 has a long and a short text of which each is near another document's."""
+    long, short = [f"l{i}" for i in range(300)], [f"s{i}" for i in range(60)]
+    rows = [(1, " ".join(long)), (1, " ".join(short)), (2, " ".join(long[:299])), (3, " ".join(short[:59])), (4, "a b c d e f")]
+    got = {r["doc_id"]: r["component_id"] for r in near.near_dedup(odd_docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_one_permutation_estimates_similarity():
     rng = np.random.default_rng(2)
     for size, extra in ((300, 100), (40, 10), (2000, 200)):
