@@ -79,11 +79,15 @@ class Notices:
                     own.append([lo, hi])
         out = []
         for i, own in windows.items():
-            pattern, length, _, label = self.find[i]
-            for lo, hi in own:
-                for m in pattern.finditer(text, lo, min(hi, len(text))):
+            pattern, length, most, label = self.find[i]
+            stretches = [(lo, min(hi, len(text))) for lo, hi in own]
+            while stretches:
+                lo, hi = stretches.pop()
+                # A search gives the best match of a stretch, wherever it stands: others may be before it and behind it.
+                if hi - lo >= length - most and (m := pattern.search(text, lo, hi)):
                     edits = sum(m.fuzzy_counts)
                     out.append((m.start(), m.end(), label, edits, 1 - edits / length))
+                    stretches += [(lo, m.start()), (m.end(), hi)]
         return _apart(out)
 
 

@@ -246,6 +246,16 @@ def test_license_base_places_and_edits():
     assert scan("plain words without any notice")[5] == ""
 
 
+@pytest.mark.parametrize("exact_at", [0, 2, 5])
+def test_license_notices_in_a_row(exact_at):
+    notices = ["released under the mit licence"] * 5
+    notices.insert(exact_at, "released under the mit license")
+    *_, base, labels, score, spans = licenses.scan(" ".join(notices).encode(), licenses.PHRASES, licenses.NOTICES)
+    assert [(x["first_word"], x["end_word"]) for x in spans] == [(5 * i, 5 * i + 5) for i in range(6)]
+    assert [x["edits"] for x in spans] == [int(i != exact_at) for i in range(6)]
+    assert (base, labels, score) == ("", "mit", 1.0)
+
+
 def test_shards_are_even_and_few_rows_move(spark):
     docs = table(spark, SMALL, "documents")
     found = sharding.sharded(docs).toPandas()
