@@ -29,6 +29,8 @@ PERCENT = 90
 SLOTS = 65_536
 _SPACE = "\t\x0b\x0c\r"
 _FIRST = "struct(doc_id, line_no, uid)"
+#: What tells rows apart, besides doc_id: two hashes of the text.
+_ROW = ["text_h1", "text_h2"]
 
 
 def _words(text: Column) -> Column:
@@ -36,6 +38,10 @@ def _words(text: Column) -> Column:
     return F.split(F.translate(F.lower(text), _SPACE, " " * len(_SPACE)), " ")
 
 
+def _row_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(_ROW[0]), F.xxhash64(F.lit(1), text).alias(_ROW[1])]
+
+
 def _hash(word: Column) -> Column:
     return F.xxhash64(word)
 
@@ -52,8 +58,10 @@ def _levels(docs: DataFrame) -> Column:
 
 
 def _lines(docs: DataFrame, levels: Column, only: Members | None = None) -> DataFrame:
-    """(doc_id, line_no, tokens, line_hash): lines with a word, their distinct tokens from the rarest; of those in only."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    """(doc_id, *_ROW, line_no, tokens, line_hash): lines with a word, their distinct tokens from the rarest; of those in only."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", *_row_keys(F.col("text")))
+    split = rows.select("doc_id", *_ROW, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     split = split.where(F.expr(f"length(trim(both ' {_SPACE}' from line)) > 0"))
     if only is not None:
         split = only.marked(split, "hit", F.xxhash64("line")).where("hit")
@@ -63,7 +71,7 @@ def _lines(docs: DataFrame, levels: Column, only: Members | None = None) -> Data
         return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(_hash(word), 7))
 
     words = F.array_remove(_words(F.col("line")), "")
-    return split.select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(words, token))).alias("tokens"), F.xxhash64("line").alias("line_hash"))
+    return split.select("doc_id", *_ROW, "line_no", F.sort_array(F.array_distinct(F.transform(words, token))).alias("tokens"), F.xxhash64("line").alias("line_hash"))
 
 
 def _keys() -> list[Column]:
@@ -71,11 +79,11 @@ def _keys() -> list[Column]:
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, line_no, kept, match_doc, match_line) for each line with a word, line_no from 0.
+    """(doc_id, line_no, kept, match_doc, match_line, *_ROW) for each line with a word, line_no from 0.
 
     A line is removed if an earlier one, by (doc_id, line_no), has the same words or a Jaccard similarity of percent
     or more; match_doc and match_line name the earliest such line. A null doc_id comes before all others; of rows that
-    share a doc_id one comes first. Null and empty texts have no lines; an empty table gives no rows; other columns
+    share a doc_id one comes first. The columns of _ROW tell such rows apart for without_lines. Null and empty texts have no lines; an empty table gives no rows; other columns
     are not read.
     """
     levels = _levels(docs)
@@ -83,8 +91,8 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # With p = n - ceil(percent n / 100) + 1 tokens, a line shares one with each similar line; below least, only equal sets are.
     least = -(-percent // (100 - percent))
     width = f"n - cast(ceil({percent} * n / 100) as int) + 1"
-    sized = lines.select("doc_id", "line_no", "line_hash", *_keys(), F.size("tokens").alias("n"), "tokens")
-    held = sized.select("doc_id", "line_no", "line_hash", "k1", "k2", "n", F.expr(f"case when n >= {least} then slice(tokens, 1, {width}) end").alias("prefix"))
+    sized = lines.select("doc_id", *_ROW, "line_no", "line_hash", *_keys(), F.size("tokens").alias("n"), "tokens")
+    held = sized.select("doc_id", *_ROW, "line_no", "line_hash", "k1", "k2", "n", F.expr(f"case when n >= {least} then slice(tokens, 1, {width}) end").alias("prefix"))
     held = written(held.withColumn("uid", F.monotonically_increasing_id()), "lines")
     least_of = F.min(F.expr("struct(doc_id, line_no, uid, line_hash, n, prefix)")).alias("f")
     classes = written(held.groupBy("k1", "k2").agg(least_of).select("k1", "k2", "f.*"), "classes")
@@ -132,19 +140,34 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     earlier = F.when(F.col("match") < own, F.col("match"))
     same = F.when(F.col("first.uid") != F.col("uid"), F.col("first"))
     found = F.when(earlier.isNull() | (same < earlier), F.coalesce(same, earlier)).otherwise(earlier)
-    out = joined.select("doc_id", "line_no", found.alias("m"))
-    return out.select("doc_id", "line_no", F.col("m").isNull().alias("kept"), F.col("m.doc_id").alias("match_doc"), F.col("m.line_no").alias("match_line"))
+    out = joined.select("doc_id", "line_no", found.alias("m"), *_ROW)
+    return out.select("doc_id", "line_no", F.col("m").isNull().alias("kept"), F.col("m.doc_id").alias("match_doc"), F.col("m.line_no").alias("match_line"), *_ROW)
 
 
 def without_lines(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs with the removed lines taken out of text. Rows that keep all lines are not shuffled."""
-    lost = verdicts.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("lost"))
-    lost = written(lost, "lost")
+    """docs with the removed lines taken out of text. verdicts: line_dedup's, for the same docs.
+
+    Lines are taken out by row: by doc_id, null too, and the text's hashes. A line that equal rows hold at one place
+    is kept for the first of them at most, so one such row keeps what any keeps; which one is free, as their texts are
+    equal. Rows that keep all lines are not shuffled.
+    """
+    keys = ["doc_id", *_ROW]
+    places = lambda kept: F.collect_set(F.when(F.col("kept") == F.lit(kept), F.col("line_no")))
+    lost = verdicts.groupBy(*keys).agg(places(False).alias("lost"), places(True).alias("held")).where("size(lost) > 0")
+    lost = written(lost.select(*keys, "lost", F.array_intersect("lost", "held").alias("once")), "lost")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = Members(lost, "doc_id").marked(rows, "hit", F.col("row.doc_id").cast("long"))
+    own = [F.col("row.doc_id").cast("long").alias("own_id"), *(c.alias(f"own_{n}") for c, n in zip(_row_keys(F.col("row.text").cast("string")), _ROW, strict=True))]
+    rows = Members(lost, *keys).marked(rows.select("row", *own), "hit", F.col("own_id"), *(F.col(f"own_{n}") for n in _ROW))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id"))
+    for n in _ROW:
+        same &= F.col(f"own_{n}") == F.col(n)
+    hit = rows.where("hit").select("row", *(c for c in rows.columns if c.startswith("own_"))).join(lost, same, "left")
+    hit = written(hit.withColumn("id", F.monotonically_increasing_id()), "hit")
+    firsts = hit.where("size(once) > 0").groupBy(*keys).agg(F.min("id").alias("id")).select("id")
+    out = F.when(F.col("is_first").isNotNull(), F.array_except("lost", "once")).otherwise(F.col("lost"))
+    changed = hit.join(firsts.withColumn("is_first", F.lit(True)), "id", "left").withColumn("lost", out)
     split = F.split(F.col("row.text"), "\n")
     numbered = F.filter(F.transform(split, lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains(F.col("lost"), x["i"]))
     text = F.array_join(F.transform(numbered, lambda x: x["line"]), "\n")
-    changed = rows.where("hit").join(lost, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")), "left")
     changed = changed.select(F.when(F.col("lost").isNull(), F.col("row")).otherwise(F.col("row").withField("text", text)).alias("row"))
     return rows.where("not hit").select("row.*").union(changed.select("row.*"))

@@ -44,7 +44,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(table(spark, sf_dir, "documents"))
+    found = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "kept", "match_doc", "match_line")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

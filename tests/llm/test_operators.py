@@ -327,3 +327,16 @@ def test_lines_take_odd_rows(spark):
     found = lines.line_dedup(docs).collect()
     assert sum(r["kept"] for r in found) < len(found)
     assert json.dumps([r["line_no"] for r in found])
+
+
+def test_lines_are_taken_out_by_row(spark):
+    """Repeated rows keep one copy of each line, and rows without a doc_id lose their own lines only."""
+    rows = [(1, "alpha one\nbeta two"), (1, "alpha one\nbeta two"), (1, "alpha one\nbeta two"), (1, "gamma three\ndelta four"), (2, "alpha one\nepsilon five")]
+    rows += [(None, "zeta six\n\neta seven"), (None, "theta eight\nzeta six\nown nine"), (None, "iota ten\nown eleven"), (None, "iota ten\nown eleven"), (None, None), (3, "eta seven")]
+    docs = odd_docs(spark, rows)
+    out = lines.without_lines(docs, lines.line_dedup(docs))
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], x) for r in out.collect() for x in (r["text"] or "").split("\n") if x]
+    want = [(1, "alpha one"), (1, "beta two"), (1, "gamma three"), (1, "delta four"), (2, "epsilon five")]
+    want += [(None, x) for x in ("zeta six", "eta seven", "theta eight", "own nine", "iota ten", "own eleven")]
+    assert out.count() == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
