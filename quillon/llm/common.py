@@ -1,14 +1,12 @@
-"""What the operators share: written tables in the shared folder, and a bounded membership filter."""
+"""What the operators share: written tables in the shared folder, and a membership filter sized by its keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import shared_folder, written  # noqa: F401
+from ..operators.shared import scoped, settings, shared_folder, written  # noqa: F401
 
-#: log2 of the bits in a membership filter: 2 MB, whatever the input's size.
-FILTER_BITS = 24
 _PAGE = 32_768  # bits in one bitmap of bitmap_construct_agg
 
 
@@ -16,50 +14,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows in an Arrow batch: two whole texts a row must fit in a worker many times over.
+#: Rows in an Arrow batch of a step that is written at once. Bytes are bounded by spark.sql.execution.arrow.maxBytesPerBatch.
 BATCH_ROWS = 500
 
 
 def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow in small batches. Texts have no bound, so the rows of a batch get one."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """df.mapInArrow. Batches have at most the session's number of rows and bytes; run goes through them row by row."""
     return df.mapInArrow(run, schema)
 
 
+def written_in_batches(df: DataFrame, name: str) -> DataFrame:
+    """written(), with BATCH_ROWS rows in an Arrow batch for as long as the writing lasts."""
+    with settings(df.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=str(BATCH_ROWS)):
+        return written(df, name)
+
+
 class Members:
-    """A filter of fixed size over hashes of keys: no false negatives, few false positives.
+    """A filter over hashes of keys: no false negatives, few false positives. Rows that it rules out need no join.
 
-    Rows that it rules out need no join. It holds 2**FILTER_BITS bits in bitmaps of 4 KB, so that what is
-    broadcast has a proven bound at every input size. When it fills up, more rows take the exact path and none is lost.
+    It has BITS_A_KEY bits for each key, so it lets through a tenth of the other rows at every input size. Up to
+    MOST_BITS it is broadcast, as bitmaps of 4 KB. Beyond that the hashes stay a table, and marked() joins with it,
+    so nothing that is broadcast grows without a bound.
     """
 
-    def __init__(self, keys: DataFrame, *by: str):
-        slot = self._slot(*(F.col(c) for c in by))
-        pages = keys.select(slot.alias("slot")).groupBy(F.expr(f"slot div {_PAGE}").alias("page"))
-        bitmap = F.expr(f"bitmap_construct_agg(slot % {_PAGE})").alias("bits")
-        self.pages = written(pages.agg(bitmap), "members")
+    BITS_A_KEY = 10
+    MOST_BITS = 1 << 28
 
-    @staticmethod
-    def _slot(*keys: Column) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(1 << FILTER_BITS))
+    def __init__(self, keys: DataFrame, *by: str):
+        hashed = written(keys.select(F.xxhash64(*by).alias("key")), "keys")
+        pages = max(1, -(-self.BITS_A_KEY * hashed.count() // _PAGE))
+        self.bits = pages * _PAGE
+        self.keys = hashed if self.bits > self.MOST_BITS else None
+        if self.keys is None:
+            slots = hashed.select(F.pmod("key", F.lit(self.bits)).alias("slot")).groupBy(F.expr(f"slot div {_PAGE}").alias("page"))
+            made = slots.agg(F.expr(f"bitmap_construct_agg(slot % {_PAGE})").alias("bits"))
+            half = "cast(conv(hex(substring(bits, cast(8 * i + {} as int), 4)), 16, 10) as long)"
+            words = f"transform(sequence(0, {_PAGE // 64 - 1}), i -> shiftleft({half.format(1)}, 32) | {half.format(5)})"
+            self.pages = written(made.select("page", F.expr(words).alias("words")), "members")
 
     def marked(self, rows: DataFrame, flag: str, *keys: Column) -> DataFrame:
-        """rows with a boolean column flag: false where the keys are certainly not in the filter."""
-        slot, page, bits = f"__slot_{flag}", f"__page_{flag}", f"__bits_{flag}"
-        pages = self.pages.select(F.col("page").alias(page), F.col("bits").alias(bits))
-        own = rows.columns
-        rows = rows.withColumn(slot, self._slot(*keys))
+        """rows with a boolean column flag: false where the keys are certainly not among the filter's."""
+        own, slot, page, words = rows.columns, f"__slot_{flag}", f"__page_{flag}", f"__words_{flag}"
+        if self.keys is not None:
+            there = self.keys.select(F.col("key").alias(page)).distinct()
+            joined = rows.withColumn(slot, F.xxhash64(*keys)).join(there, F.col(slot) == F.col(page), "left")
+            return joined.select(*own, F.col(page).isNotNull().alias(flag))
+        pages = self.pages.select(F.col("page").alias(page), F.col("words").alias(words))
+        rows = rows.withColumn(slot, F.pmod(F.xxhash64(*keys), F.lit(self.bits)))
         joined = rows.join(F.broadcast(pages), F.expr(f"{slot} div {_PAGE}") == F.col(page), "left")
-        byte = F.expr(f"cast(conv(hex(substring({bits}, cast({slot} % {_PAGE} div 8 as int) + 1, 1)), 16, 10) as int)")
-        at = F.expr(f"cast({slot} % 8 as int)")
-        held = F.coalesce(F.getbit(byte, at) == 1, F.lit(False))
+        # Bit s of a bitmap is bit s % 8 of byte s / 8; a word has eight bytes, the first one highest.
+        at = f"cast(56 - 8 * ({slot} % 64 div 8) + {slot} % 8 as int)"
+        held = F.expr(f"coalesce(getbit(get({words}, cast({slot} % {_PAGE} div 64 as int)), {at}) = 1, false)")
         return joined.select(*own, held.alias(flag))
 
+    def maybe(self, rows: DataFrame, *keys: Column) -> DataFrame:
+        """The rows that may be members, ahead of an exact join; all rows where the filter is too large to broadcast."""
+        return rows if self.keys is not None else self.marked(rows, "__maybe", *keys).where("__maybe").drop("__maybe")
+
 
 #: Links that a task of connected() writes: few links get few files.
 LINKS_A_TASK = 500_000
 
 
+@scoped
 def connected(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): (node, component) for each node that has a link; component is the smallest node.
 

@@ -1,149 +1,165 @@
 """Line dedup: an exact set-similarity join with prefix, positional and length filters, over built-in expressions.
 
-A line's tokens are its distinct words in lower case, as numbers that sort by rarity: six bits of how frequent the
-word's slot is in the corpus, then 57 bits of the word's hash. Any one order of all words makes the filters exact;
-the counts come from SLOTS slots, so that what is gathered has a fixed size, and a slot shared with a frequent word
-merely makes a rare word less telling.
-
-Lines with equal tokens form a class, which is judged once. Two classes can only be similar enough if their sizes are
-close (length filter), if they share one of their rarest tokens (prefix filter), and if enough tokens are left after
-the place where they share it (positional filter). The pairs that pass are verified on their whole token sets, which
-are computed again for just these lines.
+A line's tokens are its distinct words in lower case, as 64-bit hashes. The corpus is cut into words once: one written
+table holds each line's tokens, and all later steps read that. How rare a token is comes from counts over all lines
+in SLOTS slots, so that what is gathered has a fixed size; a slot shared with a frequent word merely makes a rare word
+less telling, since any one order of all tokens makes the filters exact.
+
+Lines with equal tokens form a class, which is judged by its earliest line. Two classes can only be similar enough if
+their sizes are close (length filter), if they share one of their rarest tokens (prefix filter), and if enough tokens
+are left after the place where they share it (positional filter). A line also carries 64 bits, each of which says
+whether an odd number of its tokens fall there: no two sets differ in fewer tokens than in bits, which rules out most
+lines that share a token by chance. The pairs that pass are verified on whole token sets. Only tokens that two prefixes
+have are filed: the others are ruled out by a filter before anything is shuffled.
 
 A line asks for its earliest similar line only. So it is held against the earliest line of each token first; what it
-matches there bounds the rest, and only lines before that bound are candidates still. Variants of one line that match
-the earliest of them so make one pair each and not all pairs.
+matches there bounds the rest, and only lines before that bound are candidates still, within lines of a similar size.
+Variants of one line that match the earliest of them so make one pair each and not all pairs.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.shared import written
-from .common import Members
+from .common import Members, scoped, written
 
 PERCENT = 90
-SLOTS = 65_536
+SLOTS = 1 << 18
+#: Lines of a token beyond which they are joined by ranges of size.
+MANY = 1000
 _SPACE = "\t\x0b\x0c\r"
-_FIRST = "struct(doc_id, line_no, uid)"
+_AT = "struct(doc_id, line_no, uid)"
 #: What tells rows apart, besides doc_id: two hashes of the text.
 _ROW = ["text_h1", "text_h2"]
 
 
-def _words(text: Column) -> Column:
-    """Words of a line, with empty ones beside doubled spaces."""
-    return F.split(F.translate(F.lower(text), _SPACE, " " * len(_SPACE)), " ")
-
-
 def _row_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias(_ROW[0]), F.xxhash64(F.lit(1), text).alias(_ROW[1])]
 
 
-def _hash(word: Column) -> Column:
-    return F.xxhash64(word)
-
-
-def _levels(docs: DataFrame) -> Column:
-    """For each slot the binary logarithm of how many words of the corpus fall into it: one literal array."""
-    text = F.translate(F.col("text").cast("string"), "\n", " ")
-    words = docs.select(F.explode(_words(text)).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.pmod(_hash(F.col("w")), F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n"))
-    levels = [0] * SLOTS
+def _lines(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, *_ROW, line_no, k1, k2, tokens): the lines with a word; k1 and k2 are two hashes of their token set."""
+    text = F.col("text").cast("string")
+    odd = text.contains(_SPACE[0])
+    for c in _SPACE[1:]:
+        odd = odd | text.contains(c)
+    plain = F.lower(F.when(odd, F.translate(text, _SPACE, " " * len(_SPACE))).otherwise(text))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(text), plain.alias("plain"))
+    split = rows.select("doc_id", *_ROW, F.posexplode(F.split("plain", "\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    words = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))  # an empty one beside each doubled space
+    tokens = F.sort_array(F.array_distinct(F.array_remove(words, F.xxhash64(F.lit("")))))
+    hashed = split.select("doc_id", *_ROW, "line_no", tokens.alias("tokens"))
+    keys = (F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"))
+    return hashed.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *_ROW, "line_no", *keys, "tokens")
+
+
+def _ranks(lines: DataFrame) -> Column:
+    """For each slot the binary logarithm of its tokens in the corpus, in the bits above a token's: one literal array."""
+    slots = lines.select(F.explode("tokens").alias("t")).select(F.expr(f"t & {SLOTS - 1}").alias("slot"))
+    counts = slots.groupBy("slot").agg(F.count("*").alias("n"))
+    ranks = [0] * SLOTS
     for r in counts.collect():  # SLOTS rows at most
-        levels[r["slot"]] = min(r["n"].bit_length(), 62)
-    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<long>")
-
-
-def _lines(docs: DataFrame, levels: Column, only: Members | None = None) -> DataFrame:
-    """(doc_id, *_ROW, line_no, tokens, line_hash): lines with a word, their distinct tokens from the rarest; of those in only."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", *_row_keys(F.col("text")))
-    split = rows.select("doc_id", *_ROW, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    split = split.where(F.expr(f"length(trim(both ' {_SPACE}' from line)) > 0"))
-    if only is not None:
-        split = only.marked(split, "hit", F.xxhash64("line")).where("hit")
+        ranks[r["slot"]] = min(r["n"].bit_length(), 62) << 57
+    return F.from_json(F.lit(json.dumps(ranks, separators=(",", ":"))), "array<long>")
 
-    def token(word: Column) -> Column:
-        level = F.get(levels, F.pmod(_hash(word), F.lit(SLOTS)).cast("int"))
-        return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(_hash(word), 7))
-
-    words = F.array_remove(_words(F.col("line")), "")
-    return split.select("doc_id", *_ROW, "line_no", F.sort_array(F.array_distinct(F.transform(words, token))).alias("tokens"), F.xxhash64("line").alias("line_hash"))
-
-
-def _keys() -> list[Column]:
-    return [F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2")]
 
+def _prefixes(lines: DataFrame, percent: int) -> DataFrame:
+    """(uid, at, n, bits, k1, prefix): the rarest tokens of each line that may have a similar one with other tokens.
 
+    With n - ceil(percent n / 100) + 1 of its rarest tokens, a line shares one with each similar line; a line of fewer
+    than least tokens is similar to equal sets only.
+    """
+    least = -(-percent // (100 - percent))
+    ranks = _ranks(lines)
+    sized = lines.select("uid", F.expr(_AT).alias("at"), "k1", F.size("tokens").alias("n"), "tokens").where(f"n >= {least}")
+    ranked = F.sort_array(F.transform("tokens", lambda t: F.get(ranks, t.bitwiseAND(SLOTS - 1)).bitwiseOR(F.shiftrightunsigned(t, 7))))
+    bits = F.expr("aggregate(tokens, 0L, (x, t) -> x ^ shiftleft(1L, cast(t & 63 as int)))").alias("bits")
+    return sized.select("uid", "at", "n", bits, "k1", F.slice(ranked, F.lit(1), F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")).alias("prefix"))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(uid, match): for each line the earliest of its partners in pairs (uid, other) that is similar enough."""
+    pairs = written(pairs.distinct(), "pairs")
+    ends = Members(pairs.select(F.explode(F.array("uid", "other.uid")).alias("uid")).distinct(), "uid")
+    sets = written(ends.maybe(lines.select("uid", "tokens"), F.col("uid")), "sets")
+    both = pairs.join(sets.withColumnRenamed("tokens", "a"), "uid")
+    both = both.join(sets.select(F.col("uid").alias("partner"), F.col("tokens").alias("b")), F.col("other.uid") == F.col("partner"))
+    common = F.size(F.array_intersect("a", "b")).alias("c")
+    near = both.select(pairs["uid"], "other", common, (F.size("a") + F.size("b")).alias("s")).where(f"100 * c >= {percent} * (s - c)")
+    return written(near.groupBy("uid").agg(F.min("other").alias("match")), "matches")
+
+
+def _fits(percent: int, y: str) -> Column:
+    """Length and positional filter of a filed line (n, pos, bits) against another one, y, and the one on bits."""
+    need = f"({percent} * (n + {y}.n) + {99 + percent}) div {100 + percent}"
+    close = f"100 * least(n, {y}.n) >= {percent} * greatest(n, {y}.n)"
+    return F.expr(f"{close} and 1 + least(n - pos - 1, {y}.n - {y}.pos - 1) >= {need} and bit_count(bits ^ {y}.bits) <= n + {y}.n - 2 * ({need})")
+
+
+def _matches(lines: DataFrame, copies: Members, firsts: Members, percent: int) -> DataFrame:
+    """(uid, match): for the first line of each class its earliest similar line with other tokens, if there is one."""
+    reps = firsts.marked(copies.marked(_prefixes(lines, percent), "many", F.col("k1")), "first", F.col("uid"))
+    reps = written(reps.where("first or not many").select("uid", "at", "n", "bits", "prefix"), "prefixes")
+    tokens = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = Members(tokens, "token")
+    filed = shared.maybe(reps.select("uid", "at", "n", "bits", F.posexplode("prefix").alias("pos", "token")), F.col("token"))
+    heads = filed.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "pos", "bits")).alias("head")).where("c > 1")
+    heads = written(heads, "heads")
+    index = written(filed.join(heads, "token").where("uid <> head.at.uid"), "index")
+
+    stars = index.where(_fits(percent, "head")).select("uid", F.col("head.at").alias("other"))
+    best = _verified(stars, lines, percent)
+    # Then, in tokens with more lines whose earliest one comes before the best match so far, against those that would
+    # be a better one. Similar sizes are at most one power of 100 / percent apart: a token of many lines is cut by it.
+    power = f"cast(if(c > {MANY}, floor({0.999 / math.log(100 / percent)!r} * ln(n)), 0) as int)"
+    later = index.where("c > 2").withColumn("power", F.expr(power))
+    powers = F.expr(f"if(c > {MANY}, array(power - 1, power, power + 1), array(power))")
+    left = later.join(best, "uid", "left").withColumn("bound", F.coalesce("match", "at")).where("head.at < bound")
+    left = left.select("uid", "n", "pos", "bits", "token", "bound", F.explode(powers).alias("power"))
+    others = later.select("token", "power", F.struct("at", "n", "pos", "bits").alias("y"))
+    rest = left.join(others, ["token", "power"]).where((F.col("y.at") < F.col("bound")) & _fits(percent, "y"))
+    more = _verified(rest.select("uid", F.col("y.at").alias("other")), lines, percent)
+    return written(best.union(more).groupBy("uid").agg(F.min("match").alias("match")), "best")
+
+
+@scoped
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, line_no, kept, match_doc, match_line, *_ROW) for each line with a word, line_no from 0.
 
     A line is removed if an earlier one, by (doc_id, line_no), has the same words or a Jaccard similarity of percent
     or more; match_doc and match_line name the earliest such line. A null doc_id comes before all others; of rows that
-    share a doc_id one comes first. The columns of _ROW tell such rows apart for without_lines. Null and empty texts have no lines; an empty table gives no rows; other columns
-    are not read.
+    share a doc_id one comes first. The columns of _ROW tell such rows apart for without_lines. Null and empty texts
+    have no lines; a very long text or line is used whole; an empty table gives no rows; other columns are not read.
     """
-    levels = _levels(docs)
-    lines = _lines(docs, levels)
-    # With p = n - ceil(percent n / 100) + 1 tokens, a line shares one with each similar line; below least, only equal sets are.
-    least = -(-percent // (100 - percent))
-    width = f"n - cast(ceil({percent} * n / 100) as int) + 1"
-    sized = lines.select("doc_id", *_ROW, "line_no", "line_hash", *_keys(), F.size("tokens").alias("n"), "tokens")
-    held = sized.select("doc_id", *_ROW, "line_no", "line_hash", "k1", "k2", "n", F.expr(f"case when n >= {least} then slice(tokens, 1, {width}) end").alias("prefix"))
-    held = written(held.withColumn("uid", F.monotonically_increasing_id()), "lines")
-    least_of = F.min(F.expr("struct(doc_id, line_no, uid, line_hash, n, prefix)")).alias("f")
-    classes = written(held.groupBy("k1", "k2").agg(least_of).select("k1", "k2", "f.*"), "classes")
-
-    index = classes.where("prefix is not null").select("uid", "n", F.expr(_FIRST).alias("at"), F.posexplode("prefix").alias("pos", "token"))
-    heads = index.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "pos")).alias("head")).where("c > 1")
-    heads = written(heads.select("token", "head"), "heads")
-    index = Members(heads, "token").marked(index, "hit", F.col("token")).where("hit").drop("hit")
-    index = written(index.join(heads, "token"), "index")
-
-    def fits(y: str) -> Column:
-        need = f"ceil({percent} * (n + {y}.n) / {100 + percent})"
-        close = f"100 * least(n, {y}.n) >= {percent} * greatest(n, {y}.n)"
-        return F.expr(f"{close} and 1 + least(n - pos - 1, {y}.n - {y}.pos - 1) >= {need}")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(uid, match): for each line the earliest of its partners in pairs (uid, other) that is similar enough."""
-        pairs = written(pairs.distinct(), "pairs")
-        ends = pairs.select(F.explode(F.array("uid", "other.uid")).alias("uid")).distinct()
-        wanted = written(classes.join(ends, "uid", "left_semi").select("uid", "k1", "k2", "doc_id", "line_no", "line_hash"), "wanted")
-        some = docs.select("doc_id", "text")
-        again = _lines(some, levels, Members(wanted, "line_hash")).select(*_keys(), "doc_id", "line_no", "tokens")
-        on = [again[c].eqNullSafe(wanted[c]) for c in ("k1", "k2", "doc_id", "line_no")]
-        sets = written(again.join(wanted, on).select("uid", "tokens").dropDuplicates(["uid"]), "sets")
-        both = pairs.join(sets.withColumnRenamed("tokens", "a"), "uid")
-        both = both.join(sets.select(F.col("uid").alias("partner"), F.col("tokens").alias("b")), F.col("other.uid") == F.col("partner"))
-        common = F.size(F.array_intersect("a", "b")).alias("c")
-        both = both.select(pairs["uid"], "other", common, (F.size("a") + F.size("b")).alias("s")).where(f"100 * c >= {percent} * (s - c)")
-        return written(both.groupBy("uid").agg(F.min("other").alias("match")), "matches")
-
-    # First each line is held against the earliest line of each of its buckets; then, in buckets whose earliest line
-    # comes before the best match so far, against the others that would be a better one.
-    stars = index.where((F.col("head.at") < F.col("at")) & fits("head")).select("uid", F.col("head.at").alias("other"))
-    best = verified(stars)
-    left = index.join(best, "uid", "left").withColumn("bound", F.coalesce("match", "at")).where("head.at < bound")
-    left = written(left.select("uid", "n", "pos", "token", "bound"), "left")
-    later = index.where("head.at < at").select(F.col("token").alias("shared"), F.struct("at", "n", "pos").alias("y"))
-    rest = left.join(later, (F.col("token") == F.col("shared")) & (F.col("y.at") < F.col("bound")) & fits("y"))
-    more = verified(rest.select("uid", F.col("y.at").alias("other")))
-    best = best.union(more).groupBy("uid").agg(F.min("match").alias("match"))
-    verdict = classes.join(best, "uid", "left").select("k1", "k2", F.expr(_FIRST).alias("first"), "match")
-    verdict = written(verdict, "verdicts")
-    joined = held.join(verdict, ["k1", "k2"])
-    own = F.expr(_FIRST)
-    earlier = F.when(F.col("match") < own, F.col("match"))
+    lines = written(_lines(docs), "lines")
+    copies = Members(lines.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1"), "k1")
+    own = lines.select("uid", "doc_id", "line_no", "k1", "k2")
+    several = copies.maybe(own, F.col("k1")).groupBy("k1", "k2").agg(F.min(F.expr(_AT)).alias("first"))
+    classes = written(several, "classes")
+    firsts = Members(classes.select("first.uid"), "uid")
+    best = _matches(lines, copies, firsts, percent)
+    # Only lines of a class with copies, or with a match, take part in a join.
+    verdicts = classes.join(best, F.col("first.uid") == F.col("uid"), "left").select("k1", "k2", "first", "match")
+    verdicts = written(verdicts, "verdicts")
+    rows = lines.select("uid", "doc_id", "line_no", *_ROW, "k1", "k2")
+    rows = Members(best, "uid").marked(copies.marked(rows, "many", F.col("k1")), "near", F.col("uid"))
+    kept = [F.col("m").isNull().alias("kept"), F.col("m.doc_id").alias("match_doc"), F.col("m.line_no").alias("match_line")]
+    out = lambda found, m: found.select("doc_id", "line_no", m.alias("m"), *_ROW).select("doc_id", "line_no", *kept, *_ROW)
+    at = F.expr(_AT)
+    earlier = F.when(F.col("match") < at, F.col("match"))
     same = F.when(F.col("first.uid") != F.col("uid"), F.col("first"))
     found = F.when(earlier.isNull() | (same < earlier), F.coalesce(same, earlier)).otherwise(earlier)
-    out = joined.select("doc_id", "line_no", found.alias("m"), *_ROW)
-    return out.select("doc_id", "line_no", F.col("m").isNull().alias("kept"), F.col("m.doc_id").alias("match_doc"), F.col("m.line_no").alias("match_line"), *_ROW)
+    in_class = out(rows.where("many").join(verdicts, ["k1", "k2"]), found)
+    matched = out(rows.where("near and not many").join(best, "uid", "left"), F.col("match"))
+    alone = rows.where("not near and not many").select("doc_id", "line_no", F.lit(True).alias("kept"), F.lit(None).cast("long").alias("match_doc"), F.lit(None).cast("int").alias("match_line"), *_ROW)
+    return alone.union(matched).union(in_class)
 
 
+@scoped
 def without_lines(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """docs with the removed lines taken out of text. verdicts: line_dedup's, for the same docs.
 
