@@ -31,7 +31,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.n_best_encoding(table(spark, sf_dir, "documents"), pieces.default_model(), keep_ids=False)
+    return pieces.n_best_encoding(table(spark, sf_dir, "documents"), pieces.default_model(), keep=1)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
