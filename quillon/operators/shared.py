@@ -35,14 +35,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a table in the shared folder, read again. options (with _ for .): the Parquet writer's.
 
     It cuts the lineage, survives a lost executor, is computed once however often it is read, and its size is
     known to the planner, which broadcasts it only below spark.sql.autoBroadcastJoinThreshold.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**{k.replace("_", "."): v for k, v in options.items()}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +60,12 @@ def deleted(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that no table needs any more: it does so once the driver's JVM has
+    noticed, which else may take as long as a whole job."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scope() -> Iterator[list]:
     """Tables written inside are deleted at its end, but for those that the results, put into the list given, still
