@@ -25,10 +25,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Members, scoped, written
+from .common import Members, release, scoped, written
 
 PERCENT = 90
 SLOTS = 1 << 18
+#: Bytes of a file's dictionary of tokens, which has most words of a file's lines once each.
+DICTIONARY = 1 << 24
 #: Lines of a token beyond which they are joined by ranges of size.
 MANY = 1000
 _SPACE = "\t\x0b\x0c\r"
@@ -58,27 +60,27 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _ranks(lines: DataFrame) -> Column:
-    """For each slot the binary logarithm of its tokens in the corpus, in the bits above a token's: one literal array."""
+    """For each slot the binary logarithm of its tokens in the corpus: one literal array."""
     slots = lines.select(F.explode("tokens").alias("t")).select(F.expr(f"t & {SLOTS - 1}").alias("slot"))
     counts = slots.groupBy("slot").agg(F.count("*").alias("n"))
     ranks = [0] * SLOTS
     for r in counts.collect():  # SLOTS rows at most
-        ranks[r["slot"]] = min(r["n"].bit_length(), 62) << 57
+        ranks[r["slot"]] = min(r["n"].bit_length(), 62)
     return F.from_json(F.lit(json.dumps(ranks, separators=(",", ":"))), "array<long>")
 
 
 def _prefixes(lines: DataFrame, percent: int) -> DataFrame:
-    """(uid, at, n, bits, k1, prefix): the rarest tokens of each line that may have a similar one with other tokens.
+    """(at, n, bits, k1, prefix): the rarest tokens of each line that may have a similar one with other tokens.
 
     With n - ceil(percent n / 100) + 1 of its rarest tokens, a line shares one with each similar line; a line of fewer
     than least tokens is similar to equal sets only.
     """
     least = -(-percent // (100 - percent))
     ranks = _ranks(lines)
-    sized = lines.select("uid", F.expr(_AT).alias("at"), "k1", F.size("tokens").alias("n"), "tokens").where(f"n >= {least}")
-    ranked = F.sort_array(F.transform("tokens", lambda t: F.get(ranks, t.bitwiseAND(SLOTS - 1)).bitwiseOR(F.shiftrightunsigned(t, 7))))
+    sized = lines.select(F.expr(_AT).alias("at"), "k1", F.size("tokens").alias("n"), "tokens").where(f"n >= {least}")
+    ranked = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND(SLOTS - 1)), 57).bitwiseOR(F.shiftrightunsigned(t, 7))))
     bits = F.expr("aggregate(tokens, 0L, (x, t) -> x ^ shiftleft(1L, cast(t & 63 as int)))").alias("bits")
-    return sized.select("uid", "at", "n", bits, "k1", F.slice(ranked, F.lit(1), F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")).alias("prefix"))
+    return sized.select("at", "n", bits, "k1", F.slice(ranked, F.lit(1), F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")).alias("prefix"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -102,23 +104,25 @@ def _fits(percent: int, y: str) -> Column:
 
 def _matches(lines: DataFrame, copies: Members, firsts: Members, percent: int) -> DataFrame:
     """(uid, match): for the first line of each class its earliest similar line with other tokens, if there is one."""
-    reps = firsts.marked(copies.marked(_prefixes(lines, percent), "many", F.col("k1")), "first", F.col("uid"))
-    reps = written(reps.where("first or not many").select("uid", "at", "n", "bits", "prefix"), "prefixes")
+    reps = firsts.marked(copies.marked(_prefixes(lines, percent), "many", F.col("k1")), "first", F.col("at.uid"))
+    reps = written(reps.where("first or not many").select("at", "n", "bits", "prefix"), "prefixes")
     tokens = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     shared = Members(tokens, "token")
-    filed = shared.maybe(reps.select("uid", "at", "n", "bits", F.posexplode("prefix").alias("pos", "token")), F.col("token"))
+    filed = shared.maybe(reps.select("at", "n", "bits", F.posexplode("prefix").alias("pos", "token")), F.col("token"))
     heads = filed.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "pos", "bits")).alias("head")).where("c > 1")
     heads = written(heads, "heads")
-    index = written(filed.join(heads, "token").where("uid <> head.at.uid"), "index")
+    release(lines.sparkSession)
+    index = written(filed.join(heads, "token").where("at.uid <> head.at.uid"), "index")
+    release(lines.sparkSession)
 
-    stars = index.where(_fits(percent, "head")).select("uid", F.col("head.at").alias("other"))
+    stars = index.where(_fits(percent, "head")).select("at.uid", F.col("head.at").alias("other"))
     best = _verified(stars, lines, percent)
     # Then, in tokens with more lines whose earliest one comes before the best match so far, against those that would
     # be a better one. Similar sizes are at most one power of 100 / percent apart: a token of many lines is cut by it.
     power = f"cast(if(c > {MANY}, floor({0.999 / math.log(100 / percent)!r} * ln(n)), 0) as int)"
     later = index.where("c > 2").withColumn("power", F.expr(power))
     powers = F.expr(f"if(c > {MANY}, array(power - 1, power, power + 1), array(power))")
-    left = later.join(best, "uid", "left").withColumn("bound", F.coalesce("match", "at")).where("head.at < bound")
+    left = later.withColumn("uid", F.col("at.uid")).join(best, "uid", "left").withColumn("bound", F.coalesce("match", "at")).where("head.at < bound")
     left = left.select("uid", "n", "pos", "bits", "token", "bound", F.explode(powers).alias("power"))
     others = later.select("token", "power", F.struct("at", "n", "pos", "bits").alias("y"))
     rest = left.join(others, ["token", "power"]).where((F.col("y.at") < F.col("bound")) & _fits(percent, "y"))
@@ -135,7 +139,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     share a doc_id one comes first. The columns of _ROW tell such rows apart for without_lines. Null and empty texts
     have no lines; a very long text or line is used whole; an empty table gives no rows; other columns are not read.
     """
-    lines = written(_lines(docs), "lines")
+    lines = written(_lines(docs), "lines", parquet_dictionary_page_size=str(DICTIONARY))
     copies = Members(lines.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1"), "k1")
     own = lines.select("uid", "doc_id", "line_no", "k1", "k2")
     several = copies.maybe(own, F.col("k1")).groupBy("k1", "k2").agg(F.min(F.expr(_AT)).alias("first"))
