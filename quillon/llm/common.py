@@ -67,9 +67,15 @@ class Members:
         held = F.expr(f"coalesce(getbit(get({words}, cast({slot} % {_PAGE} div 64 as int)), {at}) = 1, false)")
         return joined.select(*own, held.alias(flag))
 
-    def maybe(self, rows: DataFrame, *keys: Column) -> DataFrame:
-        """The rows that may be members, ahead of an exact join; all rows where the filter is too large to broadcast."""
-        return rows if self.keys is not None else self.marked(rows, "__maybe", *keys).where("__maybe").drop("__maybe")
+    def maybe(self, rows: DataFrame, *keys: Column, other: tuple[Column, ...] | None = None) -> DataFrame:
+        """The rows that may be members, by keys or by other, ahead of an exact join; all rows where the filter is too
+        large to broadcast."""
+        if self.keys is not None:
+            return rows
+        found = self.marked(rows, "__maybe", *keys)
+        if other:
+            found = self.marked(found, "__other", *other)
+        return found.where("__maybe or __other" if other else "__maybe").select(*rows.columns)
 
 
 #: Links that a task of connected() writes: few links get few files.

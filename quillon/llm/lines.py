@@ -70,22 +70,45 @@ def _ranks(lines: DataFrame) -> Column:
 
 
 def _prefixes(lines: DataFrame, percent: int) -> DataFrame:
-    """(at, n, bits, k1, prefix): the rarest tokens of each line that may have a similar one with other tokens.
+    """(at, n, power, bits, k1, prefix): the rarest tokens of each line that may have a similar one with other tokens.
 
     With n - ceil(percent n / 100) + 1 of its rarest tokens, a line shares one with each similar line; a line of fewer
-    than least tokens is similar to equal sets only.
+    than least tokens is similar to equal sets only. The power of 100 / percent that n reaches differs by one at most
+    between similar lines.
     """
     least = -(-percent // (100 - percent))
     ranks = _ranks(lines)
     sized = lines.select(F.expr(_AT).alias("at"), "k1", F.size("tokens").alias("n"), "tokens").where(f"n >= {least}")
     ranked = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND(SLOTS - 1)), 57).bitwiseOR(F.shiftrightunsigned(t, 7))))
+    power = F.expr(f"cast(floor({0.999 / math.log(100 / percent)!r} * ln(n)) as int)").alias("power")
     bits = F.expr("aggregate(tokens, 0L, (x, t) -> x ^ shiftleft(1L, cast(t & 63 as int)))").alias("bits")
-    return sized.select("at", "n", bits, "k1", F.slice(ranked, F.lit(1), F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")).alias("prefix"))
+    return sized.select("at", "n", power, bits, "k1", F.slice(ranked, F.lit(1), F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")).alias("prefix"))
+
+
+@scoped
+def _index(lines: DataFrame, copies: Members, firsts: Members, percent: int) -> DataFrame:
+    """(token, c, head, at, n, power, pos, bits): each line of a token but the earliest, head; c counts them all.
+
+    A line is filed under a token only if another line of a similar size has it: under (token, power) or (token,
+    power + 1) two such lines meet.
+    """
+    reps = firsts.marked(copies.marked(_prefixes(lines, percent), "many", F.col("k1")), "first", F.col("at.uid"))
+    reps = written(reps.where("first or not many").select("at", "n", "power", "bits", "prefix"), "prefixes")
+    places = reps.select("power", F.explode("prefix").alias("token")).select("token", F.explode(F.expr("array(power, power + 1)")).alias("power"))
+    shared = Members(places.groupBy("token", "power").agg(F.count("*").alias("c")).where("c > 1"), "token", "power")
+    release(lines.sparkSession)
+    filed = reps.select("at", "n", "power", "bits", F.posexplode("prefix").alias("pos", "token"))
+    filed = shared.maybe(filed, F.col("token"), F.col("power"), other=(F.col("token"), F.col("power") + 1))
+    heads = filed.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "pos", "bits")).alias("head")).where("c > 1")
+    heads = written(heads, "heads")
+    release(lines.sparkSession)
+    return written(filed.join(heads, "token").where("at.uid <> head.at.uid"), "index")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(uid, match): for each line the earliest of its partners in pairs (uid, other) that is similar enough."""
     pairs = written(pairs.distinct(), "pairs")
+    release(lines.sparkSession)
     ends = Members(pairs.select(F.explode(F.array("uid", "other.uid")).alias("uid")).distinct(), "uid")
     sets = written(ends.maybe(lines.select("uid", "tokens"), F.col("uid")), "sets")
     both = pairs.join(sets.withColumnRenamed("tokens", "a"), "uid")
@@ -104,23 +127,13 @@ def _fits(percent: int, y: str) -> Column:
 
 def _matches(lines: DataFrame, copies: Members, firsts: Members, percent: int) -> DataFrame:
     """(uid, match): for the first line of each class its earliest similar line with other tokens, if there is one."""
-    reps = firsts.marked(copies.marked(_prefixes(lines, percent), "many", F.col("k1")), "first", F.col("at.uid"))
-    reps = written(reps.where("first or not many").select("at", "n", "bits", "prefix"), "prefixes")
-    tokens = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = Members(tokens, "token")
-    filed = shared.maybe(reps.select("at", "n", "bits", F.posexplode("prefix").alias("pos", "token")), F.col("token"))
-    heads = filed.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "pos", "bits")).alias("head")).where("c > 1")
-    heads = written(heads, "heads")
+    index = _index(lines, copies, firsts, percent)
     release(lines.sparkSession)
-    index = written(filed.join(heads, "token").where("at.uid <> head.at.uid"), "index")
-    release(lines.sparkSession)
-
     stars = index.where(_fits(percent, "head")).select("at.uid", F.col("head.at").alias("other"))
     best = _verified(stars, lines, percent)
     # Then, in tokens with more lines whose earliest one comes before the best match so far, against those that would
-    # be a better one. Similar sizes are at most one power of 100 / percent apart: a token of many lines is cut by it.
-    power = f"cast(if(c > {MANY}, floor({0.999 / math.log(100 / percent)!r} * ln(n)), 0) as int)"
-    later = index.where("c > 2").withColumn("power", F.expr(power))
+    # be a better one. A token of many lines is cut by their size.
+    later = index.where("c > 2").withColumn("power", F.expr(f"if(c > {MANY}, power, 0)"))
     powers = F.expr(f"if(c > {MANY}, array(power - 1, power, power + 1), array(power))")
     left = later.withColumn("uid", F.col("at.uid")).join(best, "uid", "left").withColumn("bound", F.coalesce("match", "at")).where("head.at < bound")
     left = left.select("uid", "n", "pos", "bits", "token", "bound", F.explode(powers).alias("power"))
