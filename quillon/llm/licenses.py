@@ -2,14 +2,16 @@
 
 Texts become words in lower case with one space between. A notice that may have k edits is cut into k + 1 seeds: by
 the pigeonhole principle one of them is intact wherever the notice stands with at most k edits. An Aho-Corasick
-automaton finds the seeds of all notices in one pass; around them, the regex library looks for the notice with at
-most k edits and reports where it stands. Texts without a seed, nearly all, cost that one pass.
+automaton finds the seeds of all notices in one pass; around each, the regex library looks for the notice with at
+most k edits, from the start of a word to the end of one, and reports where it stands. Words that tell one license
+from another, names, numbers and the like, must stand unedited. Texts without a seed, nearly all, cost that one pass.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,19 +24,27 @@ from .kernels import texts_of
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: The method's own short notices, in words, and their labels.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
+    "apache license version 2 0": "apache-2.0",
+    "apache license version 1 1": "apache-1.1",
+    "apache license version 1 0": "apache-1.0",
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
+    "licensed under cc by": "cc-by",
     "licensed under cc by nc": "cc-by-nc",
     "licensed under cc by sa": "cc-by-sa",
+    "licensed under cc by nd": "cc-by-nd",
+    "licensed under cc by nc sa": "cc-by-nc-sa",
+    "licensed under cc by nc nd": "cc-by-nc-nd",
     "creative commons attribution": "cc-by",
     "redistribution and use in source and binary forms with or without modification": "bsd",
     "subject to the terms of the mozilla public license": "mpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
 }
+#: Words that tell licenses apart, with all numbers: no edit is taken in them.
+TELLING = {"apache", "mit", "gnu", "lesser", "cc", "by", "nc", "sa", "nd", "mozilla", "commons"}
 #: Characters of a notice for each edit that it may have.
 PER_EDIT = 10
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -46,6 +56,10 @@ def words_of(b: bytes) -> list[bytes]:
     return b.translate(_TABLE).split()
 
 
+def _told(word: str) -> bool:
+    return word in TELLING or word.isdigit()
+
+
 class Notices:
     def __init__(self, notices: dict[str, str], per_edit: int = PER_EDIT):
         import ahocorasick
@@ -58,37 +72,35 @@ class Notices:
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 at[text[lo:hi]].append((i, lo))
-            self.find.append((regex.compile(f"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}"), len(text), k, label))
+            parts = [(told, " ".join(words)) for told, words in groupby(text.split(), _told)]
+            own = [regex.escape(x, literal_spaces=True) if told else f"(?:{regex.escape(x, literal_spaces=True)}){{e<={k}}}" for told, x in parts]
+            needed = [f" {x} " for told, x in parts if told]
+            self.find.append((regex.compile("(?b) " + " ".join(own) + " "), needed, len(text), k, label))
         for seed, uses in at.items():
             self.seeds.add_word(seed, (len(seed), uses))
         self.seeds.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, str, int, float]]:
-        """(start, end, label, edits, similarity) of the notices in text, which has a space between words and at both ends."""
-        windows: dict[int, list[list[int]]] = defaultdict(list)
+        """(start, end, label, edits, similarity) of the notices in text, which has a space between words and at both ends.
+
+        Each seed has a window of its own, in which the notice may begin up to k characters beside where it would
+        without edits: too short for two of them, so the best match of a window is all that there is.
+        """
+        seen, out = set(), set()
         for end, (size, uses) in self.seeds.iter(text):
             for i, offset in uses:
-                _, length, k, _ = self.find[i]
                 start = end + 1 - size - offset
-                lo, hi = max(0, start - k), start + length + k
-                own = windows[i]
-                if own and lo <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], hi)
-                    own[-1][0] = min(own[-1][0], lo)
-                else:
-                    own.append([lo, hi])
-        out = []
-        for i, own in windows.items():
-            pattern, length, most, label = self.find[i]
-            stretches = [(lo, min(hi, len(text))) for lo, hi in own]
-            while stretches:
-                lo, hi = stretches.pop()
-                # A search gives the best match of a stretch, wherever it stands: others may be before it and behind it.
-                if hi - lo >= length - most and (m := pattern.search(text, lo, hi)):
+                if (i, start) in seen:
+                    continue
+                seen.add((i, start))
+                pattern, needed, length, k, label = self.find[i]
+                lo, hi = max(0, start - k - 1), start + length + k + 1
+                window = text[lo:hi]
+                if all(x in window for x in needed) and (m := pattern.search(window)):
                     edits = sum(m.fuzzy_counts)
-                    out.append((m.start(), m.end(), label, edits, 1 - edits / length))
-                    stretches += [(lo, m.start()), (m.end(), hi)]
-        return _apart(out)
+                    if edits <= k:
+                        out.add((lo + m.start() + 1, lo + m.end() - 1, label, edits, 1 - edits / length))
+        return _apart(list(out))
 
 
 def _apart(spans: list[tuple]) -> list[tuple]:
@@ -159,8 +171,9 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
     """doc_id and RESULT for each row. spans: where the fuzzy notices stand, in words from 0, with their edits.
 
     A null or empty text has no words, no labels and score 0; a document without labels has empty strings; score is 1
-    where a phrase stands exactly, else the best notice's share of characters without an edit. Equal rows get equal
-    results; an empty table gives no rows; other columns are not read.
+    where a phrase stands exactly, else the best notice's share of characters without an edit. Of notices that overlap
+    the one with the fewest edits stays, then the longest, then the first. A very long text is searched whole. Equal
+    rows get equal results; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return in_batches(rows, _scanned(phrases or PHRASES, notices or NOTICES), f"doc_id long, {RESULT}")
