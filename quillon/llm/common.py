@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import release, scoped, settings, shared_folder, written  # noqa: F401
+from ..operators.shared import release, scope, scoped, settings, shared_folder, written  # noqa: F401
 
 _PAGE = 32_768  # bits in one bitmap of bitmap_construct_agg
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Members, written
+from .common import Members, scoped, written
 
 #: Characters in the prefix.
 PREFIX = 256
@@ -25,12 +25,13 @@ def _shared(rows: DataFrame, *by: str) -> Members:
     return Members(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), *by)
 
 
-def exact_dedup(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+@scoped
+def exact_dedup(docs: DataFrame, columns: list[str] | None = None, every_digest: bool = False) -> DataFrame:
     """Each row as struct row (its columns, or those named), with keep_id, group_size, kept, and digest.
 
     Texts are equal when identical; null counts as empty. Of equal texts the row with the largest doc_id stays (a null
     one is below all others; of equal ids exactly one row stays), keep_id is its doc_id. digest is the text's SHA-256
-    where the refinement had to compute it, else null. Empty tables give no rows; clashing columns live in row.
+    where the refinement had to compute it, else null, but for every_digest. A very long text is hashed whole. Empty tables give no rows; clashing columns live in row.
     """
     columns = columns or docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -52,7 +53,7 @@ def exact_dedup(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     found = joined.select("row", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
                           F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
                           (alone | (F.col("best.uid") == F.col("uid"))).alias("kept"), "digest")
-    single = headed.where("not (suspect and again)").select(short, doc_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("digest"))
+    single = headed.where("not (suspect and again)").select(short, doc_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), (F.sha2(_text().cast("binary"), 256) if every_digest else F.lit(None).cast("string")).alias("digest"))
     return found.union(single)
 
 
@@ -63,10 +64,8 @@ def exact_filter(docs: DataFrame) -> DataFrame:
 
 def exact_query(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row."""
-    docs = docs.select("doc_id", "text")
-    done = exact_dedup(docs, ["doc_id", "text"])
-    digest = F.coalesce("digest", F.sha2(_text().cast("binary"), 256))
-    return done.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", digest.alias("text_sha256"))
+    done = exact_dedup(docs.select("doc_id", "text"), ["doc_id"], every_digest=True)
+    return done.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 ORACLE_SQL = """

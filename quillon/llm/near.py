@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import Members, connected, in_batches, written
+from .common import Members, connected, in_batches, scoped, written, written_in_batches
 
 PERCENT = 85
 #: Shingles of a bucket's members that one task holds at once; larger buckets are dealt to several tasks.
@@ -48,6 +48,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return in_batches(both.select("a", "b", "a_text", "b_text"), kernels.linked(percent), "a long, b long")
 
 
+@scoped
 def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) for each representative that is linked with another. reps: (node, n, bands).
 
@@ -73,7 +74,7 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
     centres = written(centres, "centres")
     stars = placed.join(centres, "bucket").where(f"node <> a and {fits}").select("a", F.col("node").alias("b")).distinct()
     tested = written(stars, "stars")
-    links = written(_confirmed(docs, tested, percent), "links")
+    links = written_in_batches(_confirmed(docs, tested, percent), "links")
     found = connected(links)
 
     label = F.coalesce("component", "node").alias("label")
@@ -94,18 +95,19 @@ def near_links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> Data
     ids = Members(now.select("node").distinct(), "node").marked(ids, "wanted", F.col("node")).where("wanted").select("node", "text")
     sets = in_batches(ids, kernels.by_text(lambda b: (kernels.shingles(b).tobytes(),), _SET, ["node"]), "node long, set binary").where("length(set) > 0")
     more = now.join(sets, "node").groupBy("bucket", "x", "y").applyInArrow(kernels.strangers(percent), "a long, b long")
-    more = written(more, "links")
+    more = written_in_batches(more, "links")
     return found if more.isEmpty() else connected(links.union(more))
 
 
+@scoped
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row.
 
     A text without words, and a row without a doc_id, is linked with nothing: its component_id is its doc_id, kept is
-    true. Rows that share a doc_id are one document, in one component. An empty table gives no rows; other columns
-    are not read.
+    true. Rows that share a doc_id are one document, in one component. A very long text is used whole. An empty table
+    gives no rows; other columns are not read.
     """
-    signed = written(signatures(docs), "signatures")
+    signed = written_in_batches(signatures(docs), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     classes = written(classes, "classes")
@@ -121,6 +123,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+@scoped
 def near_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_dedup keeps, with all their columns; only rows that may go are shuffled."""
     lost = written(near_dedup(docs).where("not kept").select(F.col("doc_id").alias("lost")).distinct(), "lost")

@@ -141,7 +141,8 @@ def _packed(path: str, capacity: int) -> Callable:
 def harmonic_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: SCHEMA. sequence_id is unique over the table; offsets in a sequence are gapless from 0.
 
-    A null or empty text is one end token; a null doc_id stays null; equal rows are packed one by one; an empty table
+    A null or empty text is one end token; a very long text is cut into as many pieces as it takes; a null doc_id stays
+    null; equal rows are packed one by one; an empty table
     gives no rows; other columns are not read. tokenizer: the path of the vocabulary file, the same on all machines.
     """
     if capacity & (capacity - 1):

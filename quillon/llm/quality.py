@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import in_batches, written
+from .common import in_batches, scoped, written, written_in_batches
 
 #: Rules: the share in thousandths that is judged, the least spread that counts, and whether low values fail too.
 RULES = {"word_length": (500, True), "symbols": (50, False), "repeated_lines": (150, False)}
@@ -102,16 +102,18 @@ def judged(stats: DataFrame) -> DataFrame:
     return joined.select("s.*", F.expr(_BASE_FAILED).alias("base_failed"), _verdict().alias("kept"))
 
 
+@scoped
 def quality_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row.
 
     A null or empty text has no words and fails the base rule; rows with a null language or source form groups of
-    their own; equal rows get equal verdicts; an empty table gives no rows; other columns are not read.
+    their own; a very long text is counted whole; equal rows get equal verdicts; an empty table gives no rows; other columns are not read.
     """
-    stats = written(with_stats(docs, "doc_id", "lang", "source"), "stats")
+    stats = written_in_batches(with_stats(docs, "doc_id", "lang", "source"), "stats")
     return judged(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@scoped
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "lang", "source", "text")
@@ -123,7 +125,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     out = pa.schema([arrow.field(n) for n in names] + [pa.field(x.split()[0], pa.int64()) for x in STATS.split(", ")])
     ddl = ", ".join([*(f"`{n}` {types[n]}" for n in names), STATS])
     stats = in_batches(held.select(*names, F.col("text").cast("string").alias("text")), kernels.by_text(kernels.text_stats, out, names), ddl)
-    return judged(written(stats, "stats")).where("kept").select("row.*")
+    return judged(written_in_batches(stats, "stats")).where("kept").select("row.*")
 
 
 ORACLE_SQL = """

@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scoped, written
 
 SHARDS, POINTS = 40, 64
 #: Rows in a slice of the ring; cells are cut finer by the points.
 SLICE_ROWS = 200_000
+#: Rows of a part of a cell that one repeated key fills; a cell with more than twice as many is cut by row.
+PART_ROWS = 20_000
 
 
 class Ring:
@@ -98,11 +100,13 @@ def _settled(first: dict[tuple[int, int, int], int], spans: list[tuple]) -> Call
     return run
 
 
+@scoped
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row.
 
     The key is doc_id; rows that share one, or have none, follow each other round the ring like any others. A null
-    text has no bytes; an empty table gives no rows; other columns are not read. law is "rows", so grown_shard is null.
+    and an empty text have no bytes; a very long text counts whole; of equal hashes the row that was read first has the
+    lower rank; an empty table gives no rows; other columns are not read. law is "rows", so grown_shard is null.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -117,8 +121,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         return cut, {(r["arc"], r["slice"], r["part"]): r["n"] for r in cut.groupBy("arc", "slice", "part").agg(F.count("*").alias("n")).collect()}
 
     cut, counts = counted({})
-    most = max(1000, 4 * n // len(ring.at))
-    if hot := {(a, s): -(-c // most) for (a, s, _), c in counts.items() if c > 2 * most}:
+    if hot := {(a, s): -(-c // PART_ROWS) for (a, s, _), c in counts.items() if c > 2 * PART_ROWS}:
         cut, counts = counted(hot)
     first, of_arc = {}, {}
     for cell, c in sorted(counts.items()):

@@ -3,7 +3,8 @@
 A token is a whole run of A-Z, a-z and 0-9 in host + path. Each rule names the tokens that any URL it matches must
 have; it is filed under the one that the fewest URLs of the table have. The index is a hash table held as one literal
 array of buckets: looking up a token costs one array access, whatever the number of rules, and only the rules found
-run their regular expression. All is row-local: no join, no shuffle of pages, and no Python.
+run their regular expression. All is row-local: no join, no shuffle of pages, and no Python. A rule without a sure
+token is run for every URL; rules beyond MOST_LITERAL are looked up by a join on the token, with the same result.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The index is a literal in the plan, so a rule set has a bound.
-MOST_RULES = 20_000
+from .common import scoped, written
+
+#: Rules that a literal in the plan may hold; more are a written table that the URLs' tokens are joined with.
+MOST_LITERAL = 20_000
 _TOKEN = "[A-Za-z0-9]+"
 
 
@@ -82,29 +85,58 @@ def _index(rules: list[Rule], counts: dict[str, int]) -> tuple[str, int]:
     return json.dumps(buckets), size
 
 
+def _best(found: Column, base: bool) -> Column:
+    """Of the fitting rules the one that wins: the highest rank, of equal ones the first by name, pattern and verdict."""
+    by = lambda x: F.struct(-x["rank"], x["name"], x["pattern"], x["verdict"])
+    own = F.filter(found, lambda r: r["base"] == F.lit(base))
+    return F.get(F.array_sort(own, lambda x, y: F.when(by(x) < by(y), -1).when(by(x) > by(y), 1).otherwise(0)), F.lit(0))
+
+
+_RULE = "struct<token:string,rank:int,name:string,base:boolean,verdict:string,pattern:string>"
+
+
+def _looked_up(rows: DataFrame, rules: list[Rule], counts: dict[str, int]) -> DataFrame:
+    """rows with fitting, by an index that is a literal."""
+    index, size = _index(rules, counts)
+    table = F.from_json(F.lit(index), f"array<array<{_RULE}>>")
+    buckets = F.transform(_found(F.col("at")), lambda t: F.filter(F.get(table, F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int")), lambda r: r["token"] == t))
+    return rows.withColumn("fitting", F.filter(F.flatten(buckets), lambda r: F.rlike("at", r["pattern"])))
+
+
+def _joined(rows: DataFrame, rules: list[Rule], counts: dict[str, int]) -> DataFrame:
+    """rows with fitting, by an index that is a table."""
+    own = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.rank, r.name, r.base, r.verdict, r.pattern) for r in rules]
+    kind = _RULE.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+    index = written(rows.sparkSession.createDataFrame(own, kind), "rules")
+    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "urls")
+    pairs = rows.select("uid", "at", F.explode(_found(F.col("at"))).alias("token")).join(index, "token").where(F.rlike("at", F.col("pattern")))
+    fits = pairs.groupBy("uid").agg(F.collect_list(F.struct("token", "rank", "name", "base", "verdict", "pattern")).alias("fitting"))
+    return rows.join(fits, "uid", "left").drop("uid").withColumn("fitting", F.coalesce("fitting", F.array().cast(f"array<{_RULE}>")))
+
+
+@scoped
 def url_filter(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(page_id, host, path, rule, pattern_rule, verdict) for each row.
 
     rule is the base rule that fits and is longest (of equal lengths the first by name), pattern_rule the pattern rule
-    that fits. verdict: the base rule's, else the pattern rule's, else DEFAULT. A null url, or one without ://, has
-    an empty host and path and no rule; equal rows get equal verdicts; an empty table gives no rows.
+    that fits, chosen likewise. verdict: the base rule's, else the pattern rule's, else DEFAULT. A null or empty url,
+    or one without ://, has an empty host and path and no rule; a very long one is used whole; rows that repeat, or
+    share a page_id, are judged one by one; an empty table gives no rows; other columns are not read.
     """
     rules = BASE_RULES + PATTERN_RULES if rules is None else rules
-    if len(rules) > MOST_RULES or not all(r.tokens for r in rules):
-        raise ValueError(f"at most {MOST_RULES} rules, each with a whole token")
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    tokens = sorted({t for r in rules for t in r.tokens})
-    seen = rows.select(F.explode(_found(F.concat("host", "path"))).alias("token")).where(F.col("token").isin(tokens))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("at", F.concat("host", "path"))
+    filed, always = [r for r in rules if r.tokens], [r for r in rules if not r.tokens]
+    tokens = rows.sparkSession.createDataFrame([(t,) for t in sorted({t for r in filed for t in r.tokens})], "token string")
+    seen = rows.select(F.explode(_found(F.col("at"))).alias("token")).join(tokens, "token", "left_semi")
     counts = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}  # one row per rule token at most
-    index, size = _index(rules, counts)
-    kind = "array<array<struct<token:string,rank:int,name:string,base:boolean,verdict:string,pattern:string>>>"
-    table = F.from_json(F.lit(index), kind)
-    at = F.concat("host", "path")
-    candidates = F.flatten(F.transform(_found(at), lambda t: F.filter(F.get(table, F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int")), lambda r: r["token"] == t)))
-    fitting = F.filter(candidates, lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))
-    first = lambda base: F.get(F.array_sort(F.filter(F.col("fitting"), lambda r: r["base"] == F.lit(base)), lambda x, y: F.when(x["rank"] != y["rank"], y["rank"] - x["rank"]).when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(0)), F.lit(0))
-    judged = rows.withColumn("fitting", fitting).select("page_id", "host", "path", first(True).alias("b"), first(False).alias("p"))
+    judged = (_looked_up if len(filed) <= MOST_LITERAL else _joined)(rows, filed, counts)
+    found = F.col("fitting")
+    if always:
+        every = F.from_json(F.lit(json.dumps([{"rank": r.rank, "name": r.name, "base": r.base, "verdict": r.verdict, "pattern": r.pattern} for r in always])), f"array<{_RULE}>")
+        found = F.concat(found, F.filter(every, lambda r: F.rlike("at", r["pattern"])))
+    judged = judged.select("page_id", "host", "path", found.alias("fitting"))
+    judged = judged.select("page_id", "host", "path", _best(F.col("fitting"), True).alias("b"), _best(F.col("fitting"), False).alias("p"))
     verdict = F.coalesce("b.verdict", "p.verdict", F.lit(DEFAULT)).alias("verdict")
     return judged.select("page_id", "host", "path", F.col("b.name").alias("rule"), F.col("p.name").alias("pattern_rule"), verdict)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import exact, kernels, licenses, lines, near, packing, pieces, quality, queries, sharding, tokencount, urls
+from quillon.llm import common, exact, kernels, licenses, lines, near, packing, pieces, quality, queries, sharding, tokencount, urls
 from quillon.llm.common import table, written
 
 from ..oracle import same
@@ -264,7 +264,7 @@ def test_shards_are_even_and_few_rows_move(spark):
     assert len(counts) == 40 and counts.max() - counts.min() <= 1
     assert all(sorted(s) == list(range(len(s))) for _, s in found.groupby("shard").slot)
     more = sharding.sharded(docs, 41).toPandas().merge(found, on="doc_id")
-    assert (more.shard_x != more.shard_y).mean() < 0.3
+    assert (more.shard_x != more.shard_y).mean() < 0.06
 
 
 def test_shards_with_one_key_in_many_rows(spark):
@@ -341,3 +341,82 @@ def test_lines_are_taken_out_by_row(spark):
     want = [(1, "alpha one"), (1, "beta two"), (1, "gamma three"), (1, "delta four"), (2, "epsilon five")]
     want += [(None, x) for x in ("zeta six", "eta seven", "theta eight", "own nine", "iota ten", "own eleven")]
     assert out.count() == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("literal", [urls.MOST_LITERAL, 10])
+def test_url_rules_equal_brute_force(spark, monkeypatch, literal):
+    """Rules with and without tokens, from a literal and from a table."""
+    monkeypatch.setattr(urls, "MOST_LITERAL", literal)
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(40)]
+    rules = [urls.host_rule(f"{rng.choice(names)}.{rng.choice(names)}/{rng.choice(['', rng.choice(names) + '/'])}", rng.choice(["allow", "block"])) for _ in range(60)]
+    rules += [urls.word_rule(x, "block") for x in names[:5]] + [urls.Rule("any-q", "q+$", (), "block", rank=1)]
+    links = [f"http://{rng.choice(['', 'a.'])}{rng.choice(names)}.{rng.choice(names)}/{rng.choice(names)}/{rng.choice(['', 'qq'])}" for _ in range(400)]
+    pages = spark.createDataFrame([(i % 350, u) for i, u in enumerate(links)], "page_id long, url string")
+
+    def want(url):
+        at = url[7:]
+        fits = [r for r in rules if re.search(r.pattern, at)]
+        best = [min((r for r in fits if r.base is b), key=lambda r: (-r.rank, r.name, r.pattern, r.verdict), default=None) for b in (True, False)]
+        return (*[r and r.name for r in best], next((r.verdict for r in best if r), "allow"))
+
+    got = [(r["page_id"], r["rule"], r["pattern_rule"], r["verdict"]) for r in urls.url_filter(pages, rules).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((i % 350, *want(u))) for i, u in enumerate(links))
+    assert any(g[1] for g in got) and any(g[2] == "any-q" for g in got)
+
+
+def test_filters_are_sized_by_their_keys(spark, monkeypatch):
+    """As many rows get through with many keys as with few, and beyond the broadcast bound only members do."""
+    for keys in (1000, 400_000):
+        held = common.Members(spark.range(0, 2 * keys, 2), "id").marked(spark.range(2 * keys), "held", F.col("id"))
+        r = held.agg(F.count_if(F.expr("held and id % 2 = 0")).alias("in"), F.count_if(F.expr("held and id % 2 = 1")).alias("out")).first()
+        assert r["in"] == keys and r["out"] < 0.13 * keys
+    monkeypatch.setattr(common.Members, "MOST_BITS", 1)
+    held = common.Members(spark.range(0, 200, 2), "id").marked(spark.range(200), "held", F.col("id"))
+    assert held.where("held").count() == 100 and held.count() == 200
+    docs = table(spark, TINY, "documents")
+    same(spark, lambda s, d: exact.exact_query(docs), exact.ORACLE_SQL, TINY)
+
+
+def test_shards_equal_a_plain_ring(spark):
+    """Clockwise overflow by arc and rank, with sizes and checksums, against a walk over the ring."""
+    docs = table(spark, TINY, "documents")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    keys = {r["doc_id"]: r["k"] for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("k")).collect()}
+    ring = sharding.Ring(40)
+    room = [len(texts) // 40 + (s < len(texts) % 40) for s in range(40)]
+    waiting = {}
+    for i, k in sorted(keys.items(), key=lambda x: x[1]):
+        at = next((j for j, p in enumerate(ring.at.tolist()) if k <= p), 0)
+        waiting.setdefault(at, []).append((at, i))
+    order, want = {}, {}
+    for at in sorted(waiting):  # slices of the ring count an arc's keys in order of their hash
+        order[at] = [i for _, i in waiting[at]]
+    queue = [(at, own) for at, own in order.items()]
+    while queue:
+        onward = []
+        for at, own in queue:
+            s = int(ring.owner[at])
+            for i in own[: room[s]]:
+                want[i] = s
+            taken = min(len(own), room[s])
+            room[s] -= taken
+            if own[taken:]:
+                onward.append(((at + 1) % len(ring.owner), own[taken:]))
+        queue = onward
+    for r in sharding.sharded(docs).collect():
+        assert (r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 16, zlib.crc32(texts[r["doc_id"]]))
+        assert r["shard"] == want[r["doc_id"]]
+
+
+def test_tables_of_an_operator_go(spark):
+    """What is left in the shared folder is what the result reads."""
+    import os
+
+    folder = common.shared_folder(spark).removeprefix("file:") + "/quillon"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = lines.line_dedup(odd_docs(spark))
+    left = set(os.listdir(folder)) - before
+    read = {f.rsplit("/", 2)[1] for f in found.inputFiles()}
+    assert left == read and len(left) < 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
