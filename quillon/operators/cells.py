@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import DIMS
-from .shared import written
+from .shared import scoped, written
 
 #: Rows whose tie is settled by sorting their ids in one group.
 TIE_BLOCK = 4096
@@ -102,23 +102,25 @@ def _pivots(members: DataFrame, splits: DataFrame) -> DataFrame:
     return last.select("cell", "dim", "px", F.element_at("ids", F.col("r2").cast("int")).alias("pi"))
 
 
+@scoped
 def kd_tree(refs: DataFrame, leaf_max: int, most_levels: int = 60) -> DataFrame:
     """members of the tree's leaves. The root is cell 1, the halves of cell c are 2c and 2c + 1.
 
     One level a round: a cell with more than leaf_max members and a spread is split at the median of its widest
-    dimension. Each level is written, so a lost executor costs one level at most.
+    dimension. Each level is written, so a lost executor costs one level at most. Each split halves a cell, so
+    most_levels is more than any table needs.
     """
     members = written(refs.select(F.lit(1).cast("long").alias("cell"), "idx", "v", F.col("fraud").cast("int").alias("fraud")), "kd")
-    for _ in range(most_levels):
+    for _ in range(most_levels + 1):
         splits = written(split_dims(boxes(members)).where(f"n > {leaf_max} and spread > 0").select("cell", "n", "dim"), "splits")
         if splits.isEmpty():
-            break
+            return members
         pivots = written(_pivots(members, splits), "pivots")
         x = F.element_at("v", F.col("dim") + 1)
         left = (x < F.col("px")) | ((x == F.col("px")) & (F.col("idx") <= F.col("pi")))
         cell = F.when(F.col("dim").isNull(), F.col("cell")).when(left, F.col("cell") * 2).otherwise(F.col("cell") * 2 + 1)
         members = written(members.join(pivots, "cell", "left").select(cell.alias("cell"), "idx", "v", "fraud"), "kd")
-    return members
+    raise ValueError(f"cells of more than {leaf_max} members are left after {most_levels} levels")
 
 
 VERSION = 1
@@ -140,6 +142,7 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(_MEMBER).parquet(f"{path}/members"), spark.read.parquet(f"{path}/cells")
 
 
+@scoped
 def build_index(spark: SparkSession, refs_path: str, out: str, n_cells: int = 2048, iterations: int = 12) -> None:
     """From a JSON reference file to a saved k-means index."""
     from ..sources.references import load_references

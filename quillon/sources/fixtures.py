@@ -18,11 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, fraud, and the flat payload columns), one row per order."""
     o = table(spark, sf_dir, "orders")
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 10").select("s_suppkey", "s_acctbal")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    n = s.count()  # keys are dense from 0
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     epoch = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + key * 37 % 86400
     codes = F.array(*[F.lit(x) for x in CODES])
-    t = o.withColumn("epoch", epoch).withColumn("s_suppkey", key % 10)
+    t = o.withColumn("epoch", epoch).withColumn("s_suppkey", key % n)
     earlier = F.lag("epoch").over(Window.partitionBy("o_custkey").orderBy("epoch", "o_orderkey"))
     t = t.withColumn("last_epoch", earlier).join(s, "s_suppkey", "left")
     written = lambda e: F.date_format(F.timestamp_seconds(e), "yyyy-MM-dd'T'HH:mm:ss'Z'")
