@@ -13,7 +13,7 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scoped, written
@@ -72,6 +72,17 @@ def _found(at: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(at, F.lit(f"({_TOKEN})"), F.lit(1)))
 
 
+def _filed(r: Rule, counts: dict[str, int]) -> dict:
+    """The rule under its rarest token."""
+    token = min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else None
+    return {"token": token, "rank": r.rank, "name": r.name, "base": r.base, "verdict": r.verdict, "pattern": r.pattern}
+
+
+def _held(spark: SparkSession, values: list, kind: str) -> DataFrame:
+    """(x) for each of the values."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")).alias("x"))
+
+
 def _index(rules: list[Rule], counts: dict[str, int]) -> tuple[str, int]:
     """Buckets by crc32 of the rarest token, as JSON, and their number."""
     import zlib
@@ -79,9 +90,8 @@ def _index(rules: list[Rule], counts: dict[str, int]) -> tuple[str, int]:
     size = 1 << max(1, (2 * len(rules)).bit_length())
     buckets: list[list[dict]] = [[] for _ in range(size)]
     for r in rules:
-        token = min(r.tokens, key=lambda t: (counts.get(t, 0), t))
-        own = {"token": token, "rank": r.rank, "name": r.name, "base": r.base, "verdict": r.verdict, "pattern": r.pattern}
-        buckets[zlib.crc32(token.encode()) % size].append(own)
+        own = _filed(r, counts)
+        buckets[zlib.crc32(own["token"].encode()) % size].append(own)
     return json.dumps(buckets), size
 
 
@@ -105,9 +115,7 @@ def _looked_up(rows: DataFrame, rules: list[Rule], counts: dict[str, int]) -> Da
 
 def _joined(rows: DataFrame, rules: list[Rule], counts: dict[str, int]) -> DataFrame:
     """rows with fitting, by an index that is a table."""
-    own = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.rank, r.name, r.base, r.verdict, r.pattern) for r in rules]
-    kind = _RULE.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
-    index = written(rows.sparkSession.createDataFrame(own, kind), "rules")
+    index = written(_held(rows.sparkSession, [_filed(r, counts) for r in rules], _RULE).select("x.*"), "rules")
     rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "urls")
     pairs = rows.select("uid", "at", F.explode(_found(F.col("at"))).alias("token")).join(index, "token").where(F.rlike("at", F.col("pattern")))
     fits = pairs.groupBy("uid").agg(F.collect_list(F.struct("token", "rank", "name", "base", "verdict", "pattern")).alias("fitting"))
@@ -127,13 +135,18 @@ def url_filter(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("at", F.concat("host", "path"))
     filed, always = [r for r in rules if r.tokens], [r for r in rules if not r.tokens]
-    tokens = rows.sparkSession.createDataFrame([(t,) for t in sorted({t for r in filed for t in r.tokens})], "token string")
-    seen = rows.select(F.explode(_found(F.col("at"))).alias("token")).join(tokens, "token", "left_semi")
-    counts = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}  # one row per rule token at most
+    tokens = sorted({t for r in filed for t in r.tokens})
+    seen = rows.select(F.explode(_found(F.col("at"))).alias("token"))
+    if few := len(tokens) <= MOST_LITERAL:
+        seen = seen.where(F.col("token").isin(tokens))
+    seen = seen.groupBy("token").agg(F.count("*").alias("n"))
+    if not few:
+        seen = seen.join(_held(rows.sparkSession, tokens, "string"), F.col("token") == F.col("x"), "left_semi")
+    counts = {r["token"]: r["n"] for r in seen.collect()}  # one row per rule token at most
     judged = (_looked_up if len(filed) <= MOST_LITERAL else _joined)(rows, filed, counts)
     found = F.col("fitting")
     if always:
-        every = F.from_json(F.lit(json.dumps([{"rank": r.rank, "name": r.name, "base": r.base, "verdict": r.verdict, "pattern": r.pattern} for r in always])), f"array<{_RULE}>")
+        every = F.from_json(F.lit(json.dumps([_filed(r, counts) for r in always])), f"array<{_RULE}>")
         found = F.concat(found, F.filter(every, lambda r: F.rlike("at", r["pattern"])))
     judged = judged.select("page_id", "host", "path", found.alias("fitting"))
     judged = judged.select("page_id", "host", "path", _best(F.col("fitting"), True).alias("b"), _best(F.col("fitting"), False).alias("p"))
