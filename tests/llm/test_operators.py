@@ -188,6 +188,36 @@ def test_packing(spark):
     assert packing.harmonic_packing(empty(spark), packing.default_tokenizer()).collect() == []
 
 
+def test_packing_cuts_little(spark):
+    own = packing.harmonic_packing(table(spark, SMALL, "documents").coalesce(1), packing.default_tokenizer()).toPandas()
+    docs = own.groupby("doc_id").agg(pieces=("length", "size"), total=("doc_tokens", "first"))
+    assert len(own) <= (-(-docs.total // packing.CAPACITY)).sum() + 1.5 * own.sequence_id.nunique()
+    assert ((own.length < packing.CAPACITY // packing.LEAST) & (own.length < own.doc_tokens)).sum() <= 30  # at a task's end
+    assert not ((own.length == 1) & (own.doc_tokens > 1)).any()
+    totals = own.groupby("sequence_id").length.sum()
+    assert (totals < packing.CAPACITY).sum() <= 11
+
+
+def test_bins_take_all_lengths():
+    rng = np.random.default_rng(5)
+    for capacity, lengths in [(2048, rng.integers(1, 6000, 2000)), (2048, [65] * 3000), (2048, [2049] * 500), (64, [1] * 500), (64, rng.integers(1, 200, 2000)), (4, rng.integers(1, 9, 300)), (2048, [])]:
+        bins, texts, got, at = packing.Bins(0, capacity), [], {}, {}
+        for i, n in enumerate(lengths):
+            texts.append(rng.bytes(4 * int(n)))
+            bins.add(i, texts[-1])
+            assert len(bins.waiting) <= packing.WAITING
+        bins.finish()
+        for doc, start, n, crc, total, sequence, offset in bins.taken():
+            assert crc == zlib.crc32(texts[doc][4 * start : 4 * (start + n)]) and 4 * total == len(texts[doc])
+            assert offset == at.get(sequence, 0)
+            at[sequence] = offset + n
+            got.setdefault(doc, []).append((start, n))
+        for i, n in enumerate(lengths):
+            parts = sorted(got[i])
+            assert parts[0][0] == 0 and sum(x for _, x in parts) == n and all(a + x == b for (a, x), (b, _) in zip(parts, parts[1:], strict=False))
+        assert all(n <= capacity and n & (n - 1) == 0 for n in at.values()) and sum(n < capacity for n in at.values()) <= 11
+
+
 def test_url_rules(spark):
     cases = [
         (0, None, "", "", None, "allow"), (1, "no scheme", "", "", None, "allow"), (2, "http://NET/", "net", "/", "net/", "block"), (3, "http://a.net", "a.net", "", None, "allow"),
