@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import distance
-from .shared import written
+from .shared import scoped, written
 
 K, DENY_FROM = 5, 3
-#: Queries that one pass over the references serves; more queries take more passes.
-QUERY_BLOCK = 8192
+#: Queries and references in a block, and query blocks that a task holds against its references.
+QUERY_BLOCK, REF_BLOCK, TASK_BLOCKS = 8192, 8192, 16
 _NEAREST = "qid long, idx long, dist long, fraud int"
 
 
@@ -62,39 +62,77 @@ class Best:
         self.limit[self.col[full]] = self.dist[full]
 
 
-def _blocks(qids: np.ndarray, vectors: np.ndarray, k: int) -> Callable:
+def _packer(size: int, names: list[str]) -> Callable:
+    """For mapInArrow: rows in blocks of at most size, one row a block; each column as little-endian bytes."""
+    kinds = {"v": np.int32, "fraud": np.int32}
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        flat = [t[c].combine_chunks().flatten() if c == "v" else t[c] for c in names]
+        packed = [x.to_numpy(zero_copy_only=False) if isinstance(x, pa.Array) else x.to_numpy() for x in flat]
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(kinds.get(c, np.int64)).tobytes()], pa.binary()) for c, x in zip(names, packed, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, size - n)
+                batch, n = batch.slice(part.num_rows), n + part.num_rows
+                held.append(part)
+                if n == size:
+                    yield block(held)
+                    held, n = [], 0
+        if held:
+            yield block(held)
+
+    return run
+
+
+def _packed(df: DataFrame, size: int, *names: str) -> DataFrame:
+    return df.select(*names).mapInArrow(_packer(size, list(names)), ", ".join(f"{c} binary" for c in names))
+
+
+def _met(k: int) -> Callable:
+    """For mapInArrow over pairs of a reference block and a query block: the k nearest of each query in this task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(vectors, k)
-        step = max(64, 4_000_000 // max(1, len(qids)))
+        found: dict[int, tuple[np.ndarray, Best]] = {}
         for batch in batches:
-            v = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            idx, fraud = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("idx", "fraud"))
-            for at in range(0, len(v), step):
-                best.add(v[at : at + step], idx[at : at + step], fraud[at : at + step])
-        columns = [pa.array(qids[best.col]), pa.array(best.idx), pa.array(best.dist), pa.array(best.fraud.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, names=["qid", "idx", "dist", "fraud"])
+            for i in range(batch.num_rows):
+                raw = {c: batch[c][i].as_py() for c in batch.schema.names}
+                name = raw["block"]
+                if name not in found:
+                    qids = np.frombuffer(raw["qid"], np.int64)
+                    found[name] = qids, Best(np.frombuffer(raw["q"], np.int32).reshape(len(qids), -1), k)
+                qids, best = found[name]
+                idx, fraud = np.frombuffer(raw["idx"], np.int64), np.frombuffer(raw["fraud"], np.int32).astype(np.int64)
+                v = np.frombuffer(raw["v"], np.int32).reshape(len(idx), -1).astype(np.float64)
+                step = max(64, 4_000_000 // len(qids))
+                for at in range(0, len(v), step):
+                    best.add(v[at : at + step], idx[at : at + step], fraud[at : at + step])
+        for qids, best in found.values():
+            columns = [pa.array(qids[best.col]), pa.array(best.idx), pa.array(best.dist), pa.array(best.fraud.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["qid", "idx", "dist", "fraud"])
 
     return run
 
 
+@scoped
 def nearest(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
     """(qid, rank, idx, dist, fraud) of the k nearest references of each query, exactly.
 
-    References stream past blocks of at most QUERY_BLOCK queries as matrix products; each task returns k rows per
-    query, and only those are shuffled. Nothing that grows with the references is gathered.
+    Queries are written in blocks of at most QUERY_BLOCK, references are packed in blocks as they are read, and each
+    block of the one meets each of the other as a matrix product. The planner broadcasts the written blocks where they
+    are small enough; else tasks read them, TASK_BLOCKS or so each, and the references once for each such part. A task
+    returns k rows per query, and only those are shuffled. The driver sees no row.
     """
-    q = written(queries.select("qid", "v"), "queries")
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()  # about QUERY_BLOCK rows
-        if len(rows):
-            run = _blocks(rows["qid"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64), k)
-            part = refs.select("idx", "v", "fraud").mapInArrow(run, _NEAREST)
-            found = part if found is None else found.union(part)
-    if found is None:
-        found = refs.sparkSession.createDataFrame([], _NEAREST)
-    return first_k(found, k).select("qid", "rank", "idx", "dist", "fraud")
+    asked = written(queries.select("qid", "v"), "queries")
+    n = asked.count()
+    blocks = _packed(asked.coalesce(max(1, -(-n // QUERY_BLOCK))), QUERY_BLOCK, "qid", "v")
+    blocks = blocks.select(F.monotonically_increasing_id().alias("block"), "qid", F.col("v").alias("q"))
+    blocks = written(blocks.repartition(max(1, -(-n // (TASK_BLOCKS * QUERY_BLOCK)))), "blocks")
+    met = _packed(refs, REF_BLOCK, "idx", "v", "fraud").crossJoin(blocks).mapInArrow(_met(k), _NEAREST)
+    return first_k(met, k).select("qid", "rank", "idx", "dist", "fraud")
 
 
 def threshold(neighbours: DataFrame, k: int = K) -> DataFrame:

@@ -333,6 +333,14 @@ def ivf_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact(*_index(spark, sf_dir))
 
 
+@query(_KM + _BOX + _ORDER + _limited(2) + _TOP + """
+SELECT CAST(sum(n) AS BIGINT) AS read, (SELECT count(*) FROM qs) * (SELECT count(*) FROM vecs) AS every
+FROM probes JOIN boxes USING (cell) JOIN (SELECT qid, CASE WHEN count(*) >= 5 THEN max(dist) END AS tau FROM top GROUP BY qid) USING (qid)
+WHERE tau IS NULL OR lb <= tau""")
+def ivf_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.pruning(*_index(spark, sf_dir))
+
+
 @query(_KM + _BOX + _ORDER + _limited(MOST) + _TOP + " SELECT qid, rank, idx, dist, fraud FROM top")
 def ivf_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.budget(*_index(spark, sf_dir), MOST)
@@ -474,8 +482,9 @@ def probe_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
     out = None
+    states = search.prefix_states(*index, max(most for _, most in SWEEP))  # serve all settings
     for first, most in SWEEP:
-        done = search.adaptive(*index, first, most)
+        done = search.stopped(states, first, most)
         row = done.agg(F.avg("probes").alias("mean_probes"), F.max("probes").cast("long").alias("max_probes"), F.sum("fraud_count").alias("frauds"))
         row = row.select(F.lit(first).alias("first"), F.lit(most).alias("most"), "mean_probes", "max_probes", "frauds")
         out = row if out is None else out.union(row)

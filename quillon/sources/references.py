@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import DIMS, reference_vector
+from ..operators.shared import scoped, written
 
 
+@scoped
 def load_references(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, v, fraud) from one JSON array of {vector, label}; idx is the place in the array.
+    """(idx, v, fraud) from one file with a JSON array of {vector, label}; idx is the place in the array.
 
-    The file is one JSON value and so one task; write the result as Parquet once and read that afterwards.
-    A vector that hasn't 14 numbers, or a missing label, fails the job.
+    The file is split at closing braces, of which each entry has one, so it is read in parallel however it is broken
+    into lines. An entry's idx is its place within its split, behind the entries of all splits before.
+    A vector that hasn't 14 numbers, a missing label, or what isn't an entry, fails the job.
     """
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.from_json("value", "array<struct<vector:array<double>,label:string>>")).alias("idx", "r"))
-    checked = rows.select(F.col("idx").cast("long").alias("idx"), "r.vector", "r.label")
-    return quantised_references(checked)
+    text = spark.read.text(path, lineSep="}").select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    entry = F.concat(F.regexp_replace("value", r"^[\s\[,]+", ""), F.lit("}"))
+    read = F.from_json(entry, "struct<vector:array<double>,label:string>").alias("r")
+    rows = written(text.where(r"not value rlike '^[\\s\\[\\]]*$'").select("block", "at", read), "entries")
+    splits = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    splits = splits.withColumn("before", F.sum("n").over(Window.orderBy("block")) - F.col("n"))  # one row a split
+    idx = F.expr("before + at - first").alias("idx")
+    return quantised_references(rows.join(splits, "block").select(idx, "r.vector", "r.label"))
 
 
 def quantised_references(rows: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from quillon.functions.features import features, timestamp
 from quillon.operators import cells, evaluate, knn, search
+from quillon.operators.shared import settings
 from quillon.plans import registry
 from quillon.sources.payload import decoded
 from quillon.sources.references import load_references, load_validation
-from quillon.streaming.scorer import score_stream, scored
+from quillon.report import report
+from quillon.streaming.scorer import ready, score_stream, scored
 
 from .oracle import same
 
@@ -41,6 +43,7 @@ def read(spark, *payloads):
     return {r["qid"]: r for r in features(decoded(df)).select("qid", "parse_ok", "v").collect()}
 
 
+# Payloads and the vectors that they must give.
 GOLDEN = [
     (payload(), [41, 1667, 500, 7826, 3333, -10000, -10000, 292, 1500, 0, 10000, 0, 1500, 60]),
     (payload(transaction={"amount": 9505.97, "installments": 10, "requested_at": "2026-03-14T05:15:12Z"}, customer={"avg_amount": 81.28, "tx_count_24h": 20, "known_merchants": ["MERC-008", "MERC-007", "MERC-005"]}, merchant={"id": "MERC-068", "mcc": "7802", "avg_amount": 54.86}, terminal__km_from_home=952.27), [9506, 8333, 10000, 2174, 8333, -10000, -10000, 9523, 10000, 0, 10000, 10000, 7500, 55]),
@@ -148,6 +151,51 @@ def test_reference_and_validation_files(spark, tmp_path):
         assert read(spark, rows[0]["payload"])[0]["v"] == GOLDEN[0][1]
 
 
+def test_references_of_many_splits(spark, tmp_path):
+    entries = [{"vector": [i / 1000] + [0.5] * 13, "label": "fraud" if i % 3 else "legit"} for i in range(1000)]
+    for name, body in (("line", json.dumps(entries)), ("lines", json.dumps(entries, indent=1)), ("none", "[\n]")):
+        (tmp_path / name).write_text(body)
+    with settings(spark, spark_sql_files_maxPartitionBytes="5000", spark_sql_files_openCostInBytes="1"):
+        for name in ("line", "lines"):
+            found = load_references(spark, f"{tmp_path}/{name}").collect()
+            assert sorted((r["idx"], r["v"][0], r["fraud"]) for r in found) == [(i, i * 10, int(i % 3 > 0)) for i in range(1000)]
+        assert load_references(spark, f"{tmp_path}/none").collect() == []
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_blocks_of_queries_equal_brute_force(spark, monkeypatch, broadcast):
+    for name, size in (("QUERY_BLOCK", 7), ("REF_BLOCK", 11), ("TASK_BLOCKS", 2)):
+        monkeypatch.setattr(knn, name, size)
+    rng = np.random.default_rng(3)
+    v, asked = rng.integers(0, 3, (300, 14)), rng.integers(0, 3, (60, 14))
+    refs = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "idx long, v array<int>, fraud int")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "qid long, v array<int>")
+    with settings(spark, spark_sql_autoBroadcastJoinThreshold=broadcast):
+        found = sorted((r["qid"], r["rank"], r["idx"]) for r in knn.nearest(q, refs).collect())
+    order = [np.lexsort((np.arange(300), ((v - x) ** 2).sum(axis=1)))[:5].tolist() for x in asked]
+    assert found == [(i, r + 1, idx) for i, x in enumerate(order) for r, idx in enumerate(x)]
+
+
+def test_report_of_an_index(spark, tmp_path):
+    refs = refs_of(spark, range(0, 10000, 50), [i % 2 for i in range(200)])
+    cells.save(cells.kmeans(refs, 8, 2), f"{tmp_path}/index", "kmeans")
+    entries = [{"request": json.loads(p), "expected_approved": True, "expected_fraud_score": 0.6} for p, _ in GOLDEN]
+    entries.append({"request": {"id": "broken"}, "expected_approved": True, "expected_fraud_score": 0.0})
+    (tmp_path / "validation.json").write_text(json.dumps(entries))
+    got = report(spark, f"{tmp_path}/index", f"{tmp_path}/validation.json", 1, 4, runs=2)
+    found = knn.vote(knn.nearest(spark.createDataFrame([(i, v) for i, (_, v) in enumerate(GOLDEN)], "qid long, v array<int>"), refs))
+    assert got["total"] == 4 and got["edges"] == 3 and got["probes"]["total"] == 3 and got["seconds"]["total"] == 2
+    assert 0 <= got["pruned_share"] < 1 and got["fp"] + got["fn"] == got["mismatches"] - 1 and found.count() == 3
+
+
+def test_percentiles_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.integers(0, 40, 3000), rng.integers(0, 10**6, 3000)])
+    r = evaluate.percentiles(spark.createDataFrame([(int(x),) for x in values], "x long").repartition(6), "x").first()
+    values.sort()
+    assert [r[c] for c in ("total", "p50", "p90", "p99", "p999", "most")] == [6000, *(values[5999 * a // b] for a, b in ((1, 2), (9, 10), (99, 100), (999, 1000))), values[-1]]
+
+
 def test_index_is_built_from_a_file(spark, tmp_path):
     rng = np.random.default_rng(1)
     (tmp_path / "refs.json").write_text(json.dumps([{"vector": [round(x, 4) for x in rng.random(14).tolist()], "label": "fraud"} for _ in range(200)]))
@@ -162,7 +210,9 @@ def test_stream_scores_like_batch(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("\n".join(lines))
     refs = refs_of(spark, range(0, 10000, 100), [i % 2 for i in range(100)])
     stream = spark.readStream.text(f"{tmp_path}/in")
-    score_stream(stream, refs, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    query = score_stream(stream, refs, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    assert not ready(query)  # it has ended
     got = {r["payload"]: r["response"] for r in spark.read.parquet(f"{tmp_path}/out/scores").collect()}
     batch = scored(spark.createDataFrame(list(enumerate(lines)), "qid long, payload string"), refs).collect()
     assert got == {lines[r["qid"]]: r["response"] for r in batch}
