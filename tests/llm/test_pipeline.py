@@ -5,6 +5,7 @@ from quillon.llm import kernels, quality
 from quillon.llm.common import table
 
 from . import brute
+from .test_operators import empty, odd_docs
 
 TINY = "/root/testdata/sf0.001"
 
@@ -30,3 +31,21 @@ def test_stages_return_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, TINY).columns == docs.columns
     assert len(corpus_pipeline.STAGES) == 4 and kernels.shingles(b"").size == 0
+
+
+def test_stages_take_odd_rows(spark):
+    kept, docs = [], odd_docs(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, TINY)
+        kept.append(sorted((r["doc_id"] for r in docs.collect()), key=lambda i: (i is None, i)))
+    # Short and repetitive texts go; of equal ones the largest id stays; 8 has the words of 4.
+    assert kept == [[3, 4, 4, 8, None], [4, 8], [4]]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, TINY).toPandas()
+    assert set(packed.doc_id) == {4} and packed.length.sum() == packed.doc_tokens.iloc[0]
+
+
+def test_stages_take_empty_tables(spark):
+    docs = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, TINY)
+        assert docs.collect() == []
