@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import Members, release, scoped, written
 
 PERCENT = 90
-SLOTS = 1 << 18
+SLOTS = 1 << 22
+#: Where a token's rank begins in a ranked token.
+_RANK = 57
 #: Bytes of a file's dictionary of tokens, which has most words of a file's lines once each.
 DICTIONARY = 1 << 24
 #: Lines of a token beyond which they are joined by ranges of size.
@@ -59,14 +61,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     return hashed.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *_ROW, "line_no", *keys, "tokens")
 
 
+@scoped
 def _ranks(lines: DataFrame) -> Column:
-    """For each slot the binary logarithm of its tokens in the corpus: one literal array."""
-    slots = lines.select(F.explode("tokens").alias("t")).select(F.expr(f"t & {SLOTS - 1}").alias("slot"))
-    counts = slots.groupBy("slot").agg(F.count("*").alias("n"))
-    ranks = [0] * SLOTS
-    for r in counts.collect():  # SLOTS rows at most
-        ranks[r["slot"]] = min(r["n"].bit_length(), 62)
-    return F.from_json(F.lit(json.dumps(ranks, separators=(",", ":"))), "array<long>")
+    """For each slot four bits on its tokens in the corpus, 16 slots a word: one literal array of fixed size.
+
+    0: one token only, which no other line has. Else the binary logarithm of their number, from 1 to 15, over a base
+    that follows the mean, so that the range stays telling at every input size.
+    """
+    slots = lines.select(F.explode("tokens").alias("t")).select(F.expr(f"cast(t & {SLOTS - 1} as int)").alias("slot"))
+    counts = written(slots.groupBy("slot").agg(F.count("*").alias("n")), "slots")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) // SLOTS
+    base = max(0, mean.bit_length() - 8)
+    rank = f"if(n = 1, 0, least(greatest(length(bin(n)) - {base}, 1), 15))"
+    packed = counts.groupBy(F.expr("shiftright(slot, 4)").alias("word")).agg(F.expr(f"bit_or(shiftleft(cast({rank} as long), 4 * (slot & 15)))").alias("bits"))
+    words = [0] * (SLOTS >> 4)
+    for r in packed.collect():  # SLOTS / 16 rows at most
+        words[r["word"]] = r["bits"]
+    return F.from_json(F.lit(json.dumps(words, separators=(",", ":"))), "array<long>")
 
 
 def _prefixes(lines: DataFrame, percent: int) -> DataFrame:
@@ -79,7 +90,13 @@ def _prefixes(lines: DataFrame, percent: int) -> DataFrame:
     least = -(-percent // (100 - percent))
     ranks = _ranks(lines)
     sized = lines.select(F.expr(_AT).alias("at"), "k1", F.size("tokens").alias("n"), "tokens").where(f"n >= {least}")
-    ranked = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND(SLOTS - 1)), 57).bitwiseOR(F.shiftrightunsigned(t, 7))))
+
+    def ranked_token(t: Column) -> Column:
+        word = F.get(ranks, F.shiftright(t.bitwiseAND(SLOTS - 1), 4))
+        rank = F.call_function("shiftrightunsigned", word, (t.bitwiseAND(15) * 4).cast("int")).bitwiseAND(15)
+        return F.shiftleft(rank, _RANK).bitwiseOR(F.shiftrightunsigned(t, 64 - _RANK))
+
+    ranked = F.sort_array(F.transform("tokens", ranked_token))
     power = F.expr(f"cast(floor({0.999 / math.log(100 / percent)!r} * ln(n)) as int)").alias("power")
     bits = F.expr("aggregate(tokens, 0L, (x, t) -> x ^ shiftleft(1L, cast(t & 63 as int)))").alias("bits")
     return sized.select("at", "n", power, bits, "k1", F.slice(ranked, F.lit(1), F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")).alias("prefix"))
@@ -94,10 +111,11 @@ def _index(lines: DataFrame, copies: Members, firsts: Members, percent: int) ->
     """
     reps = firsts.marked(copies.marked(_prefixes(lines, percent), "many", F.col("k1")), "first", F.col("at.uid"))
     reps = written(reps.where("first or not many").select("at", "n", "power", "bits", "prefix"), "prefixes")
-    places = reps.select("power", F.explode("prefix").alias("token")).select("token", F.explode(F.expr("array(power, power + 1)")).alias("power"))
+    several = f"token >= {1 << _RANK}"  # rank 0: a token that no other line has
+    places = reps.select("power", F.explode("prefix").alias("token")).where(several).select("token", F.explode(F.expr("array(power, power + 1)")).alias("power"))
     shared = Members(places.groupBy("token", "power").agg(F.count("*").alias("c")).where("c > 1"), "token", "power")
     release(lines.sparkSession)
-    filed = reps.select("at", "n", "power", "bits", F.posexplode("prefix").alias("pos", "token"))
+    filed = reps.select("at", "n", "power", "bits", F.posexplode("prefix").alias("pos", "token")).where(several)
     filed = shared.maybe(filed, F.col("token"), F.col("power"), other=(F.col("token"), F.col("power") + 1))
     heads = filed.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "pos", "bits")).alias("head")).where("c > 1")
     heads = written(heads, "heads")
@@ -105,6 +123,7 @@ def _index(lines: DataFrame, copies: Members, firsts: Members, percent: int) ->
     return written(filed.join(heads, "token").where("at.uid <> head.at.uid"), "index")
 
 
+@scoped
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(uid, match): for each line the earliest of its partners in pairs (uid, other) that is similar enough."""
     pairs = written(pairs.distinct(), "pairs")
