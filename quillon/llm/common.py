@@ -32,40 +32,52 @@ def written_in_batches(df: DataFrame, name: str) -> DataFrame:
 class Members:
     """A filter over hashes of keys: no false negatives, few false positives. Rows that it rules out need no join.
 
-    It has BITS_A_KEY bits for each key, so it lets through a tenth of the other rows at every input size. Up to
-    MOST_BITS it is broadcast, as bitmaps of 4 KB. Beyond that the hashes stay a table, and marked() joins with it,
-    so nothing that is broadcast grows without a bound.
+    A key's hash names a page and a bit in it by each of SHIFTS; with BITS_A_KEY bits for a key that lets through
+    about one in a hundred of the other rows, at every input size. Up to MOST_BITS it is broadcast, as bitmaps of 4 KB.
+    Beyond that the hashes stay a table, and marked() joins with it, so nothing that is broadcast grows without a bound.
     """
 
-    BITS_A_KEY = 10
+    BITS_A_KEY = 16
     MOST_BITS = 1 << 28
+    #: Where in the hash the bits' places begin, 15 bits each; the 19 lowest bits name the page.
+    SHIFTS = (49, 34, 19)
 
     def __init__(self, keys: DataFrame, *by: str):
         hashed = written(keys.select(F.xxhash64(*by).alias("key")), "keys")
-        pages = max(1, -(-self.BITS_A_KEY * hashed.count() // _PAGE))
-        self.bits = pages * _PAGE
-        self.keys = hashed if self.bits > self.MOST_BITS else None
+        self.n_pages = max(1, -(-self.BITS_A_KEY * hashed.count() // _PAGE))
+        self.keys = hashed if self.n_pages * _PAGE > self.MOST_BITS else None
         if self.keys is None:
-            slots = hashed.select(F.pmod("key", F.lit(self.bits)).alias("slot")).groupBy(F.expr(f"slot div {_PAGE}").alias("page"))
-            made = slots.agg(F.expr(f"bitmap_construct_agg(slot % {_PAGE})").alias("bits"))
+            places = F.array(*(F.expr(self._place("key", s)) for s in self.SHIFTS))
+            slots = hashed.select(F.expr(self._page("key")).alias("page"), F.explode(places).alias("slot"))
+            made = slots.groupBy("page").agg(F.expr("bitmap_construct_agg(cast(slot as long))").alias("bits"))
             half = "cast(conv(hex(substring(bits, cast(8 * i + {} as int), 4)), 16, 10) as long)"
             words = f"transform(sequence(0, {_PAGE // 64 - 1}), i -> shiftleft({half.format(1)}, 32) | {half.format(5)})"
             self.pages = written(made.select("page", F.expr(words).alias("words")), "members")
 
+    def _page(self, key: str) -> str:
+        return f"cast(({key} & {(1 << min(self.SHIFTS)) - 1}) % {self.n_pages} as int)"
+
+    def _place(self, key: str, shift: int) -> str:
+        return f"cast(shiftrightunsigned({key}, {shift}) & {_PAGE - 1} as int)"
+
     def marked(self, rows: DataFrame, flag: str, *keys: Column) -> DataFrame:
         """rows with a boolean column flag: false where the keys are certainly not among the filter's."""
-        own, slot, page, words = rows.columns, f"__slot_{flag}", f"__page_{flag}", f"__words_{flag}"
+        own, key, page, words = rows.columns, f"__slot_{flag}", f"__page_{flag}", f"__words_{flag}"
+        rows = rows.withColumn(key, F.xxhash64(*keys))
         if self.keys is not None:
             there = self.keys.select(F.col("key").alias(page)).distinct()
-            joined = rows.withColumn(slot, F.xxhash64(*keys)).join(there, F.col(slot) == F.col(page), "left")
+            joined = rows.join(there, F.col(key) == F.col(page), "left")
             return joined.select(*own, F.col(page).isNotNull().alias(flag))
         pages = self.pages.select(F.col("page").alias(page), F.col("words").alias(words))
-        rows = rows.withColumn(slot, F.pmod(F.xxhash64(*keys), F.lit(self.bits)))
-        joined = rows.join(F.broadcast(pages), F.expr(f"{slot} div {_PAGE}") == F.col(page), "left")
-        # Bit s of a bitmap is bit s % 8 of byte s / 8; a word has eight bytes, the first one highest.
-        at = f"cast(56 - 8 * ({slot} % 64 div 8) + {slot} % 8 as int)"
-        held = F.expr(f"coalesce(getbit(get({words}, cast({slot} % {_PAGE} div 64 as int)), {at}) = 1, false)")
-        return joined.select(*own, held.alias(flag))
+        joined = rows.join(F.broadcast(pages), F.expr(self._page(key)) == F.col(page), "left")
+
+        def bit(place: str) -> str:
+            # Bit s of a bitmap is bit s % 8 of byte s / 8; a word has eight bytes, the first one highest.
+            at = f"56 - 8 * cast({place} % 64 div 8 as int) + {place} % 8"
+            return f"getbit(get({words}, cast({place} div 64 as int)), {at}) = 1"
+
+        held = " and ".join(bit(self._place(key, s)) for s in self.SHIFTS)
+        return joined.select(*own, F.expr(f"coalesce({held}, false)").alias(flag))
 
     def maybe(self, rows: DataFrame, *keys: Column, other: tuple[Column, ...] | None = None) -> DataFrame:
         """The rows that may be members, by keys or by other, ahead of an exact join; all rows where the filter is too

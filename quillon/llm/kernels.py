@@ -32,6 +32,7 @@ def by_text(kernel: Callable[[bytes], tuple], schema: pa.Schema, keep: list[str]
                 made = list(zip(*map(kernel, texts_of(part["text"])), strict=True))
                 columns = [pa.array(v, schema.field(n).type) for n, v in zip(names, made, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part[c].cast(schema.field(c).type) for c in keep), *columns], schema=schema)
+        freed()
 
     return run
 
@@ -51,6 +52,13 @@ class _Hashed(dict):
 _numbers, _hashes = _Numbered(), _Hashed()
 
 
+def freed() -> None:
+    """At a task's end: gives back what the worker, which later steps use too, holds for this one only."""
+    _numbers.clear()
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -166,6 +174,7 @@ def linked(percent: int) -> Callable:
                 common = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(common > 0 and 100 * common >= percent * (len(held) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        freed()
 
     return run
 
