@@ -38,8 +38,9 @@ LEAST = 32
 WAITING = 64
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: White-space chunks whose ids a worker remembers; beyond that it starts anew.
-MOST_CHUNKS = 800_000
+#: White-space chunks after which a worker starts a new table of ids. It keeps the one before, and takes from it what
+#: comes up again, so that it holds two such tables at most and frequent chunks are encoded once.
+MOST_CHUNKS = 150_000
 #: Marks that end a word; the tokenizer never joins them with the letters before.
 _MARKS = ".,;:!?|"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -56,24 +57,29 @@ class Chunks(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.path, self.tokenizer, self.before = path, Tokenizer.from_file(path), {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        word = chunk.decode("utf-8", "replace")
-        head = word.rstrip(_MARKS)
-        if len(head) < len(word) and normalize("NFC", head).lower().isalpha():  # letters and marks behind them are tokens of their own
-            packed = self[head.encode()] + self[word[len(head) :].encode()]
-        elif word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lowers letters first
-            packed = self[chunk.lower()]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            packed = b"".join([x.to_bytes(4, "little") for x in ids])
+        packed = self.before.get(chunk)
+        if packed is None:
+            packed = self._encoded(chunk)
         if len(chunk) <= 100:
             self[chunk] = packed
         return packed
 
+    def _encoded(self, chunk: bytes) -> bytes:
+        word = chunk.decode("utf-8", "replace")
+        head = word.rstrip(_MARKS)
+        if len(head) < len(word) and normalize("NFC", head).lower().isalpha():  # letters and marks behind them are tokens of their own
+            return self[head.encode()] + self[word[len(head) :].encode()]
+        if word.isascii() and word.isalpha() and not word.islower():  # the tokenizer lowers letters first
+            return self[chunk.lower()]
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return b"".join([x.to_bytes(4, "little") for x in ids])
+
     def ids(self, text: bytes) -> bytes:
         if len(self) > MOST_CHUNKS:
+            self.before = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
