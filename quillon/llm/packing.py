@@ -40,7 +40,7 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: White-space chunks after which a worker starts a new table of ids. It keeps the one before, and takes from it what
 #: comes up again, so that it holds two such tables at most and frequent chunks are encoded once.
-MOST_CHUNKS = 150_000
+MOST_CHUNKS = 250_000
 #: Marks that end a word; the tokenizer never joins them with the letters before.
 _MARKS = ".,;:!?|"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
