@@ -27,9 +27,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near.near_filter(docs)
 
 
+#: Packing's workers share their executor with what earlier stages left there, so they remember less than by default.
+MOST_CHUNKS = 150_000
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, with their sequences."""
-    return packing.harmonic_packing(docs, packing.default_tokenizer())
+    return packing.harmonic_packing(docs, packing.default_tokenizer(), most_chunks=MOST_CHUNKS)
 
 
 STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage), ("near dedup", near_stage), ("packing", packing_stage)]

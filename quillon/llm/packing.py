@@ -40,7 +40,7 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: White-space chunks after which a worker starts a new table of ids. It keeps the one before, and takes from it what
 #: comes up again, so that it holds two such tables at most and frequent chunks are encoded once.
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 800_000
 #: Marks that end a word; the tokenizer never joins them with the letters before.
 _MARKS = ".,;:!?|"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -58,6 +58,7 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer, self.before = path, Tokenizer.from_file(path), {}
+        self.most = MOST_CHUNKS
 
     def __missing__(self, chunk: bytes) -> bytes:
         packed = self.before.get(chunk)
@@ -78,7 +79,7 @@ class Chunks(dict):
         return b"".join([x.to_bytes(4, "little") for x in ids])
 
     def ids(self, text: bytes) -> bytes:
-        if len(self) > MOST_CHUNKS:
+        if len(self) > self.most:
             self.before = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.split()))
@@ -237,12 +238,13 @@ def _dealt(pieces: list[Piece], sizes: list[int]) -> list[list[Piece]]:
     return out
 
 
-def _packed(path: str, capacity: int) -> Callable:
+def _packed(path: str, capacity: int, most_chunks: int) -> Callable:
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, bins, end = chunks(path), Bins(TaskContext.get().partitionId() << 33, capacity), END.to_bytes(4, "little")
+        ids_of.most = most_chunks
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"]), strict=True):
                 bins.add(doc_id, ids_of.ids(text) + end)
@@ -255,17 +257,18 @@ def _packed(path: str, capacity: int) -> Callable:
     return run
 
 
-def harmonic_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def harmonic_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, most_chunks: int = MOST_CHUNKS) -> DataFrame:
     """One row per piece: SCHEMA. sequence_id is unique over the table; offsets in a sequence are gapless from 0.
 
     A null or empty text is one end token; a very long text is cut into as many pieces as it takes; a null doc_id stays
     null; equal rows are packed one by one; an empty table
     gives no rows; other columns are not read. tokenizer: the path of the vocabulary file, the same on all machines.
+    most_chunks: the size of a worker's tables, which trades its memory for time and changes no result.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_batches(rows, _packed(tokenizer, capacity), SCHEMA)
+    return in_batches(rows, _packed(tokenizer, capacity, most_chunks), SCHEMA)
 
 
 def default_tokenizer() -> str:
