@@ -222,3 +222,23 @@ def test_stream_scores_like_batch(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, name):
     same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], SMALL)
+
+
+def brute(v, asked):
+    idx = np.arange(len(v))
+    return [(i, r + 1, int(at)) for i, x in enumerate(asked) for r, at in enumerate(np.lexsort((idx, ((v - x) ** 2).sum(axis=1)))[:5])]
+
+
+def test_nearest_asks_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "REF_BLOCK", 500)
+    rounds, met = [], knn._met
+    monkeypatch.setattr(knn, "_met", lambda asked, blocks, *more: rounds.append((asked.agg(F.sum("n")).first()[0], blocks.count())) or met(asked, blocks, *more))
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.integers(0, 10000, (12000, 3)), np.zeros((12000, 11), np.int64)], axis=1)
+    asked = v[rng.choice(len(v), 300)]
+    refs = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "idx long, v array<int>, fraud int")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "qid long, v array<int>")
+    assert sorted((r["qid"], r["rank"], r["idx"]) for r in knn.nearest(q, refs).collect()) == brute(v, asked)
+    (home, n_blocks), (others, _) = rounds
+    assert home == 300 and n_blocks >= 24 and others < 300 * n_blocks / 4
+    assert knn.nearest(q, refs.limit(0)).count() == 0
