@@ -242,3 +242,13 @@ def test_nearest_asks_few_blocks(spark, monkeypatch):
     (home, n_blocks), (others, _) = rounds
     assert home == 300 and n_blocks >= 24 and others < 300 * n_blocks / 4
     assert knn.nearest(q, refs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["fraud_score"])
+def test_vectors_are_made_once(spark, monkeypatch, name):
+    limits, written = [], registry.written
+    monkeypatch.setattr(registry, "written", lambda df, at: limits.append((at, spark.conf.get("spark.sql.codegen.hugeMethodLimit"))) or written(df, at))
+    plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().analyzed().toString()
+    assert ("vectors", "8000") in limits and (name == "fraud_score" or ("read", "8000") in limits)
+    assert "from_json" not in plan and "lag(" not in plan  # the result reads written tables
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") != "8000"
