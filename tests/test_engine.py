@@ -244,7 +244,7 @@ def test_nearest_asks_few_blocks(spark, monkeypatch):
     assert knn.nearest(q, refs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["fraud_score"])
+@pytest.mark.parametrize("name", ["fraud_score", "payload_safe_default"])
 def test_vectors_are_made_once(spark, monkeypatch, name):
     limits, written = [], registry.written
     monkeypatch.setattr(registry, "written", lambda df, at: limits.append((at, spark.conf.get("spark.sql.codegen.hugeMethodLimit"))) or written(df, at))
