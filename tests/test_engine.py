@@ -263,3 +263,13 @@ def test_exact_search_joins_no_pairs(spark, monkeypatch):
     members = cells.kmeans(refs, 8, 2)
     found = search.exact(q, members, cells.boxes(members))
     assert sorted((r["qid"], r["rank"], r["idx"]) for r in found.collect()) == brute(v, v[:50])
+
+
+def test_search_of_a_saved_index_joins_no_pairs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(search, "scanned", None)
+    v = np.random.default_rng(8).integers(0, 50, (3000, 14)) * 100
+    refs = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "idx long, v array<int>, fraud int")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[::60])], "qid long, v array<int>")
+    cells.save(cells.kmeans(refs, 8, 2), f"{tmp_path}/index", "kmeans")
+    found = search.exact(q, *cells.load(spark, f"{tmp_path}/index"))
+    assert sorted((r["qid"], r["rank"], r["idx"]) for r in found.collect()) == brute(v, v[::60])
