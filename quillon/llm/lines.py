@@ -1,20 +1,26 @@
-"""Line dedup: an exact set-similarity join with prefix, positional and length filters, over built-in expressions.
+"""Line dedup: an exact set-similarity join by parts of token sets, over built-in expressions.
 
 A line's tokens are its distinct words in lower case, as 64-bit hashes. The corpus is cut into words once: one written
-table holds each line's tokens, and all later steps read that. How rare a token is comes from counts over all lines
-in SLOTS slots, so that what is gathered has a fixed size; a slot shared with a frequent word merely makes a rare word
-less telling, since any one order of all tokens makes the filters exact.
-
-Lines with equal tokens form a class, which is judged by its earliest line. Two classes can only be similar enough if
-their sizes are close (length filter), if they share one of their rarest tokens (prefix filter), and if enough tokens
-are left after the place where they share it (positional filter). A line also carries 64 bits, each of which says
-whether an odd number of its tokens fall there: no two sets differ in fewer tokens than in bits, which rules out most
-lines that share a token by chance. The pairs that pass are verified on whole token sets. Only tokens that two prefixes
-have are filed: the others are ruled out by a filter before anything is shuffled.
-
-A line asks for its earliest similar line only. So it is held against the earliest line of each token first; what it
-matches there bounds the rest, and only lines before that bound are candidates still, within lines of a similar size.
-Variants of one line that match the earliest of them so make one pair each and not all pairs.
+table holds each line's tokens, and all later steps read that.
+
+Lines with equal tokens form a class, which is judged by its earliest line. Two sets that are similar enough differ in
+d tokens at most, which their sizes tell: of d + 1 parts, cut by ranges of the hash, one is the same in both. A line is
+filed under a hash of each of its parts, of some ten tokens each, so that lines meet which have ten tokens in common and
+seldom by chance, and what is filed grows with the input. A line files its parts for each number of parts that a larger
+partner may ask for: mostly one or two. Only parts that two lines have are filed: the others are ruled out by a filter
+before anything is shuffled.
+
+A line also carries 64 bits, each of which says whether an odd number of its tokens fall there: no two sets differ in
+fewer tokens than in bits. Pairs whose sizes and bits allow it are verified on whole token sets.
+
+Lines that share a passage may have a part in common with very many others. Those in a part of more than MANY lines
+are held against each other by their rarest tokens instead: two similar lines share one of these (prefix filter), with
+enough tokens left after it (positional filter). How rare a token is among them comes from counts in SLOTS slots, so that
+what is gathered has a fixed size; any one order of all tokens makes the filters exact.
+
+A line asks for its earliest similar line only. So it is held against the earliest line of each part or token first;
+what it matches there bounds the rest, and only lines before that bound are candidates still, within lines of a similar
+size. Variants of one line that match the earliest of them so make one pair each and not all pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +37,10 @@ PERCENT = 90
 SLOTS = 1 << 18
 #: Bytes of a file's dictionary of tokens, which has most words of a file's lines once each.
 DICTIONARY = 1 << 24
-#: Lines of a token beyond which they are joined by ranges of size.
+#: Lines of a part beyond which they are joined by their rarest tokens, and of a token beyond which by ranges of size.
 MANY = 1000
+#: Tokens of a line up to which its parts' ends are looked up one by one, which takes the square of its size.
+LOOKED_UP = 1000
 _SPACE = "\t\x0b\x0c\r"
 _AT = "struct(doc_id, line_no, uid)"
 #: What tells rows apart, besides doc_id: two hashes of the text.
@@ -69,39 +77,84 @@ def _ranks(lines: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(ranks, separators=(",", ":"))), "array<long>")
 
 
+_BITS = "aggregate(tokens, 0L, (x, t) -> x ^ shiftleft(1L, cast(t & 63 as int)))"
+
+
+def _least(percent: int) -> int:
+    """Tokens of the smallest line that may have a similar one with other tokens."""
+    return -(-percent // (100 - percent))
+
+
+def _parts(percent: int) -> Column:
+    """A hash for each part of tokens, sorted, n of them, for each number of parts in which a similar line may meet it.
+
+    Two lines of at most m tokens differ in d = 2 m (100 - percent) / (100 + percent) tokens at most, so that d + 1
+    parts of the larger one's count, or more, have one in common. The smaller one files all counts up to the size that
+    percent allows; from 16 on they are rounded up to one in eight or so of them. Where one token may differ, three
+    parts are made and each is left out once, as halves of a small line hold few tokens.
+    """
+    asked = f"sequence(2L * n * {100 - percent} div {100 + percent} + 1, 2L * (100 * n div {percent}) * {100 - percent} div {100 + percent} + 1)"
+    step = "shiftleft(1L, greatest(cast(floor(log2(q)) as int) - 3, 0))"
+    counts = f"filter(array_distinct(transform({asked}, q -> (q + {step} - 1) div {step} * {step})), q -> q > 1)"
+    # Part i of p begins at the hashes whose upper half, counted from the lowest, is i / p of 2**32.
+    start = "shiftleft((i * 4294967296 + p - 1) div p - 2147483648, 32)"
+    merged = f"sort_array(concat(tokens, transform(sequence(1L, p - 1), i -> {start})))"
+    looked_up = f"transform(sequence(1L, p - 1), i -> cast(array_position(x, {start}) - i as int))"
+    is_start = f"exists(array(shiftright((shiftright(y, 32) + 2147483648) * p, 32)), j -> exists(array(j, j + 1), i -> i between 1 and p - 1 and y = {start}))"
+    passed = f"transform(filter(transform(x, (y, at) -> if({is_start}, at, -1)), at -> at >= 0), (at, i) -> at - i)"
+    ends = f"concat(array(0), transform(array({merged}), x -> if(n <= {LOOKED_UP}, {looked_up}, {passed}))[0], array(n))"
+    own = "transform(sequence(1, cast(p as int)), i -> xxhash64(p, i, slice(tokens, e[i - 1] + 1, e[i] - e[i - 1])))"
+    rest = "transform(sequence(1, 3), i -> xxhash64(2L, i, slice(tokens, 1, e[i - 1]), slice(tokens, e[i] + 1, n - e[i])))"
+    hashes = f"transform(array(if(q = 2, 3L, q)), p -> transform(array({ends}), e -> if(q = 2, {rest}, {own}))[0])[0]"
+    return F.expr(f"flatten(transform({counts}, q -> {hashes}))")
+
+
+@scoped
+def _filed(lines: DataFrame, copies: Members, firsts: Members, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(at, n, power, bits, pos, token) for each part, token, of a class's first line that another one's has; and (token, c)
+    of those parts, with the number of lines that have them."""
+    sized = lines.select(F.expr(_AT).alias("at"), "k1", F.size("tokens").alias("n"), "tokens").where(f"n >= {_least(percent)}")
+    reps = firsts.marked(copies.marked(sized, "many", F.col("k1")), "first", F.col("at.uid")).where("first or not many")
+    reps = written(reps.select("at", "n", F.expr(_BITS).alias("bits"), _parts(percent).alias("parts")), "parts")
+    places = reps.select(F.explode("parts").alias("token"))
+    shared = written(places.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    release(lines.sparkSession)
+    none = F.lit(0).alias("power"), F.lit(0).alias("pos")
+    filed = reps.select("at", "n", none[0], "bits", none[1], F.explode("parts").alias("token"))
+    return written(Members(shared, "token").maybe(filed, F.col("token")), "filed"), shared
+
+
 def _prefixes(lines: DataFrame, percent: int) -> DataFrame:
-    """(at, n, power, bits, k1, prefix): the rarest tokens of each line that may have a similar one with other tokens.
+    """(at, n, power, bits, prefix): the rarest tokens of each line.
 
-    With n - ceil(percent n / 100) + 1 of its rarest tokens, a line shares one with each similar line; a line of fewer
-    than least tokens is similar to equal sets only. The power of 100 / percent that n reaches differs by one at most
-    between similar lines.
+    With n - ceil(percent n / 100) + 1 of its rarest tokens, a line shares one with each similar line. The power of
+    100 / percent that n reaches differs by one at most between similar lines.
     """
-    least = -(-percent // (100 - percent))
     ranks = _ranks(lines)
-    sized = lines.select(F.expr(_AT).alias("at"), "k1", F.size("tokens").alias("n"), "tokens").where(f"n >= {least}")
+    sized = lines.select(F.expr(_AT).alias("at"), F.size("tokens").alias("n"), "tokens")
     ranked = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND(SLOTS - 1)), 57).bitwiseOR(F.shiftrightunsigned(t, 7))))
     power = F.expr(f"cast(floor({0.999 / math.log(100 / percent)!r} * ln(n)) as int)").alias("power")
-    bits = F.expr("aggregate(tokens, 0L, (x, t) -> x ^ shiftleft(1L, cast(t & 63 as int)))").alias("bits")
-    return sized.select("at", "n", power, bits, "k1", F.slice(ranked, F.lit(1), F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")).alias("prefix"))
+    return sized.select("at", "n", power, F.expr(_BITS).alias("bits"), F.slice(ranked, F.lit(1), F.expr(f"n - ({percent} * n + 99) div 100 + 1").cast("int")).alias("prefix"))
 
 
 @scoped
-def _index(lines: DataFrame, copies: Members, firsts: Members, percent: int) -> DataFrame:
-    """(token, c, head, at, n, power, pos, bits): each line of a token but the earliest, head; c counts them all.
-
-    A line is filed under a token only if another line of a similar size has it: under (token, power) or (token,
-    power + 1) two such lines meet.
-    """
-    reps = firsts.marked(copies.marked(_prefixes(lines, percent), "many", F.col("k1")), "first", F.col("at.uid"))
-    reps = written(reps.where("first or not many").select("at", "n", "power", "bits", "prefix"), "prefixes")
+def _filed_by_token(lines: DataFrame, percent: int) -> DataFrame:
+    """(at, n, power, bits, pos, token) for each of the rarest tokens of lines that another one of a similar size has:
+    under (token, power) or (token, power + 1) two such lines meet."""
+    reps = written(_prefixes(lines, percent), "prefixes")
     places = reps.select("power", F.explode("prefix").alias("token")).select("token", F.explode(F.expr("array(power, power + 1)")).alias("power"))
     shared = Members(places.groupBy("token", "power").agg(F.count("*").alias("c")).where("c > 1"), "token", "power")
     release(lines.sparkSession)
     filed = reps.select("at", "n", "power", "bits", F.posexplode("prefix").alias("pos", "token"))
-    filed = shared.maybe(filed, F.col("token"), F.col("power"), other=(F.col("token"), F.col("power") + 1))
+    return written(shared.maybe(filed, F.col("token"), F.col("power"), other=(F.col("token"), F.col("power") + 1)), "filed")
+
+
+@scoped
+def _index(filed: DataFrame) -> DataFrame:
+    """(token, c, head, at, n, power, pos, bits): each line of a token, or part, but the earliest, head; c counts them all."""
     heads = filed.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("at", "n", "pos", "bits")).alias("head")).where("c > 1")
     heads = written(heads, "heads")
-    release(lines.sparkSession)
+    release(filed.sparkSession)
     return written(filed.join(heads, "token").where("at.uid <> head.at.uid"), "index")
 
 
@@ -126,9 +179,25 @@ def _fits(percent: int, y: str) -> Column:
     return F.expr(f"{close} and 1 + least(n - pos - 1, {y}.n - {y}.pos - 1) >= {need} and bit_count(bits ^ {y}.bits) <= n + {y}.n - 2 * ({need})")
 
 
+@scoped
 def _matches(lines: DataFrame, copies: Members, firsts: Members, percent: int) -> DataFrame:
     """(uid, match): for the first line of each class its earliest similar line with other tokens, if there is one."""
-    index = _index(lines, copies, firsts, percent)
+    filed, shared = _filed(lines, copies, firsts, percent)
+    release(lines.sparkSession)
+    crowded = written(shared.where(f"c > {MANY}").select("token"), "crowded")
+    if crowded.isEmpty():
+        return _earliest(filed, lines, percent)
+    best = _earliest(filed.join(crowded, "token", "left_anti"), lines, percent)
+    uids = written(filed.join(crowded, "token", "left_semi").select(F.col("at.uid").alias("uid")).distinct(), "crowd")
+    crowd = written(Members(uids, "uid").maybe(lines.select("uid", "doc_id", "line_no", "tokens"), F.col("uid")).join(uids, "uid", "left_semi"), "crowd")
+    more = _earliest(_filed_by_token(crowd, percent), crowd, percent)
+    return written(best.union(more).groupBy("uid").agg(F.min("match").alias("match")), "best")
+
+
+@scoped
+def _earliest(filed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(uid, match): for each line filed the earliest similar one among those that share a token, or part, with it."""
+    index = _index(filed)
     release(lines.sparkSession)
     stars = index.where(_fits(percent, "head")).select("at.uid", F.col("head.at").alias("other"))
     best = _verified(stars, lines, percent)

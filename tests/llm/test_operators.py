@@ -352,6 +352,38 @@ def test_variants_of_a_line_equal_brute_force(spark):
     assert any(m and m[0] > 20 for m in got.values())
 
 
+@pytest.mark.parametrize(("percent", "many", "looked_up"), [(90, 1000, 1000), (90, 1000, 0), (90, 3, 1000), (80, 1000, 1000), (80, 3, 0)])
+def test_lines_by_parts_equal_brute_force(spark, monkeypatch, percent, many, looked_up):
+    """Pairs at the threshold and beside it, of all sizes, whose parts are cut in both ways, with crowded parts and without."""
+    monkeypatch.setattr(lines, "MANY", many)
+    monkeypatch.setattr(lines, "LOOKED_UP", looked_up)
+    rng = random.Random(31)
+    rows = []
+    for n in (*range(3, 48), 90, 91, 171, 190, 330):
+        line = [f"w{rng.randrange(2000)}" for _ in range(n)]
+        for d in {0, 1, 2, n * (100 - percent) // 100, n * (100 - percent) // 100 + 1, n * (100 - percent) // (100 + percent)}:
+            left, put = line[: n - d], [f"x{rng.randrange(10**6)}" for _ in range(d)]
+            rows += [" ".join(x) for x in (line, left, line + put, left + put) if x]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    found = lines.line_dedup(odd_docs(spark, rows), percent).collect()
+    got = {(r["doc_id"], r["line_no"]): None if r["kept"] else (r["match_doc"], r["match_line"]) for r in found}
+    assert got == brute_lines(rows, percent)
+
+
+def test_lines_seldom_meet_by_chance(spark, monkeypatch):
+    """Lines of a few hundred words, each of which very many lines have."""
+    met, written = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name, **more: met.append((name, out := written(df, name, **more), out.count())) or out)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.sample(words, rng.randrange(20, 60)))) for i in range(4000)]
+    rows += [(4000 + i, rows[i][1] + " more") for i in range(10)]
+    found = lines.line_dedup(odd_docs(spark, rows)).collect()
+    assert {(r["doc_id"], r["match_doc"]) for r in found if not r["kept"]} == {(4000 + i, i) for i in range(10)}
+    assert sum(n for name, _, n in met if name == "index") < 400
+
+
 def test_lines_take_odd_rows(spark):
     docs = odd_docs(spark)
     found = lines.line_dedup(docs).collect()
