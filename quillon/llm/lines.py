@@ -35,8 +35,8 @@ from .common import Members, release, scoped, written
 
 PERCENT = 90
 SLOTS = 1 << 18
-#: Bytes of a file's dictionary of tokens, which has most words of a file's lines once each.
-DICTIONARY = 1 << 24
+#: The writer's option for tokens, whose dictionary would take more time than all else that is written.
+PLAIN = {"parquet.enable.dictionary#tokens.list.element": "false"}
 #: Lines of a part beyond which they are joined by their rarest tokens, and of a token beyond which by ranges of size.
 MANY = 1000
 #: Tokens of a line up to which its parts' ends are looked up one by one, which takes the square of its size.
@@ -85,28 +85,38 @@ def _least(percent: int) -> int:
     return -(-percent // (100 - percent))
 
 
-def _parts(percent: int) -> Column:
-    """A hash for each part of tokens, sorted, n of them, for each number of parts in which a similar line may meet it.
+def _parts(sized: DataFrame, percent: int) -> DataFrame:
+    """sized (at, n, bits, tokens) with a row and a hash, token, for each part of tokens, for each number of parts in which
+    a similar line may meet it; without tokens.
 
     Two lines of at most m tokens differ in d = 2 m (100 - percent) / (100 + percent) tokens at most, so that d + 1
     parts of the larger one's count, or more, have one in common. The smaller one files all counts up to the size that
-    percent allows; from 16 on they are rounded up to one in eight or so of them. Where one token may differ, three
-    parts are made and each is left out once, as halves of a small line hold few tokens.
+    percent allows; they are rounded up to 2, 3, 4, 6, 8, 12 and so on, so that most lines file one. Where one token may
+    differ, three parts are made and each is left out once, as halves of a small line hold few tokens.
+
+    What goes through all tokens is compiled code, outside of lambdas, but for the ends of a very long line's parts.
     """
     asked = f"sequence(2L * n * {100 - percent} div {100 + percent} + 1, 2L * (100 * n div {percent}) * {100 - percent} div {100 + percent} + 1)"
-    step = "shiftleft(1L, greatest(cast(floor(log2(q)) as int) - 3, 0))"
+    step = "shiftleft(1L, greatest(cast(floor(log2(q)) as int) - 1, 0))"
     counts = f"filter(array_distinct(transform({asked}, q -> (q + {step} - 1) div {step} * {step})), q -> q > 1)"
-    # Part i of p begins at the hashes whose upper half, counted from the lowest, is i / p of 2**32.
-    start = "shiftleft((i * 4294967296 + p - 1) div p - 2147483648, 32)"
-    merged = f"sort_array(concat(tokens, transform(sequence(1L, p - 1), i -> {start})))"
-    looked_up = f"transform(sequence(1L, p - 1), i -> cast(array_position(x, {start}) - i as int))"
-    is_start = f"exists(array(shiftright((shiftright(y, 32) + 2147483648) * p, 32)), j -> exists(array(j, j + 1), i -> i between 1 and p - 1 and y = {start}))"
-    passed = f"transform(filter(transform(x, (y, at) -> if({is_start}, at, -1)), at -> at >= 0), (at, i) -> at - i)"
-    ends = f"concat(array(0), transform(array({merged}), x -> if(n <= {LOOKED_UP}, {looked_up}, {passed}))[0], array(n))"
-    own = "transform(sequence(1, cast(p as int)), i -> xxhash64(p, i, slice(tokens, e[i - 1] + 1, e[i] - e[i - 1])))"
-    rest = "transform(sequence(1, 3), i -> xxhash64(2L, i, slice(tokens, 1, e[i - 1]), slice(tokens, e[i] + 1, n - e[i])))"
-    hashes = f"transform(array(if(q = 2, 3L, q)), p -> transform(array({ends}), e -> if(q = 2, {rest}, {own}))[0])[0]"
-    return F.expr(f"flatten(transform({counts}, q -> {hashes}))")
+    rows = sized.select("*", F.expr(f"explode({counts})").alias("q")).select("*", F.expr("if(q = 2, 3L, q)").alias("p"))
+
+    def start(i: str) -> str:
+        """Part i of p begins at the hashes whose upper half, counted from the lowest, is i / p of 2**32."""
+        return f"shiftleft(({i} * 4294967296 + p - 1) div p - 2147483648, 32)"
+
+    merged = f"sort_array(concat(tokens, transform(sequence(1L, p - 1), i -> {start('i')})))"
+    is_start = f"exists(array(shiftright((shiftright(y, 32) + 2147483648) * p, 32)), j -> exists(array(j, j + 1), i -> i between 1 and p - 1 and y = {start('i')}))"
+    passed = f"transform(filter(transform(merged, (y, at) -> if({is_start}, at, -1)), at -> at >= 0), (at, i) -> at - i)"
+    rows = rows.withColumn("merged", F.expr(merged)).withColumn("ends", F.expr(f"if(n <= {LOOKED_UP}, null, {passed})"))
+    rows = rows.select("*", F.expr("explode(sequence(1L, p))").alias("i"))
+
+    def end(i: str) -> str:
+        return f"if(n <= {LOOKED_UP}, cast(array_position(merged, {start(i)}) - {i} as int), ends[cast({i} as int) - 1])"
+
+    rows = rows.withColumn("e", F.expr(f"if(i = 1, 0, {end('(i - 1)')})")).withColumn("f", F.expr(f"if(i = p, n, {end('i')})"))
+    part = F.expr("if(q = 2, xxhash64(q, i, slice(tokens, 1, e), slice(tokens, f + 1, n - f)), xxhash64(q, i, slice(tokens, e + 1, f - e)))")
+    return rows.select("at", "n", "bits", part.alias("token"))
 
 
 @scoped
@@ -115,13 +125,11 @@ def _filed(lines: DataFrame, copies: Members, firsts: Members, percent: int) ->
     of those parts, with the number of lines that have them."""
     sized = lines.select(F.expr(_AT).alias("at"), "k1", F.size("tokens").alias("n"), "tokens").where(f"n >= {_least(percent)}")
     reps = firsts.marked(copies.marked(sized, "many", F.col("k1")), "first", F.col("at.uid")).where("first or not many")
-    reps = written(reps.select("at", "n", F.expr(_BITS).alias("bits"), _parts(percent).alias("parts")), "parts")
-    places = reps.select(F.explode("parts").alias("token"))
-    shared = written(places.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    parts = written(_parts(reps.select("at", "n", F.expr(_BITS).alias("bits"), "tokens"), percent), "parts")
+    shared = written(parts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     release(lines.sparkSession)
-    none = F.lit(0).alias("power"), F.lit(0).alias("pos")
-    filed = reps.select("at", "n", none[0], "bits", none[1], F.explode("parts").alias("token"))
-    return written(Members(shared, "token").maybe(filed, F.col("token")), "filed"), shared
+    filed = Members(shared, "token").maybe(parts, F.col("token"))
+    return written(filed.select("at", "n", F.lit(0).alias("power"), "bits", F.lit(0).alias("pos"), "token"), "filed"), shared
 
 
 def _prefixes(lines: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +230,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     share a doc_id one comes first. The columns of _ROW tell such rows apart for without_lines. Null and empty texts
     have no lines; a very long text or line is used whole; an empty table gives no rows; other columns are not read.
     """
-    lines = written(_lines(docs), "lines", parquet_dictionary_page_size=str(DICTIONARY))
+    lines = written(_lines(docs), "lines", **PLAIN)
     copies = Members(lines.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1"), "k1")
     own = lines.select("uid", "doc_id", "line_no", "k1", "k2")
     several = copies.maybe(own, F.col("k1")).groupBy("k1", "k2").agg(F.min(F.expr(_AT)).alias("first"))
