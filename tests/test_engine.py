@@ -273,3 +273,10 @@ def test_search_of_a_saved_index_joins_no_pairs(spark, monkeypatch, tmp_path):
     cells.save(cells.kmeans(refs, 8, 2), f"{tmp_path}/index", "kmeans")
     found = search.exact(q, *cells.load(spark, f"{tmp_path}/index"))
     assert sorted((r["qid"], r["rank"], r["idx"]) for r in found.collect()) == brute(v, v[::60])
+
+
+def test_a_saved_index_makes_its_boxes_once(spark, monkeypatch):
+    made, boxes = [], cells.boxes
+    monkeypatch.setattr(cells, "boxes", lambda members: made.append(members) or boxes(members))
+    found = registry.QUERIES["index_roundtrip"](spark, SMALL)
+    assert len(made) == 1 and found.count() == 5 * found.select("qid").distinct().count() > 0
