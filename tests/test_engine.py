@@ -280,3 +280,13 @@ def test_a_saved_index_makes_its_boxes_once(spark, monkeypatch):
     monkeypatch.setattr(cells, "boxes", lambda members: made.append(members) or boxes(members))
     found = registry.QUERIES["index_roundtrip"](spark, SMALL)
     assert len(made) == 1 and found.count() == 5 * found.select("qid").distinct().count() > 0
+
+
+def test_every_order_is_scored(spark):
+    made = registry.QUERIES["vec_full"](spark, SMALL).orderBy("qid").toPandas()
+    fraud = spark.read.parquet(f"{SMALL}/orders.parquet").orderBy("o_orderkey").select((F.col("o_orderstatus") == "F").cast("int")).toPandas().to_numpy()[:, 0]
+    v = made[[f"d{i}" for i in range(14)]].to_numpy(np.int64)
+    counts = [int(fraud[np.lexsort((made["qid"], ((v - x) ** 2).sum(axis=1)))[:5]].sum()) for x in v]
+    found = registry.QUERIES["fraud_score"](spark, SMALL).orderBy("qid").collect()
+    assert len(found) == len(fraud) > 20
+    assert [(r["qid"], r["fraud_count"], r["approved"], r["fraud_score"]) for r in found] == [(q, n, n < 3, n / 5) for q, n in zip(made["qid"], counts, strict=True)]
