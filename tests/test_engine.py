@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions.features import features, timestamp
-from quillon.operators import cells, evaluate, knn, search
+from quillon.operators import blocks, cells, evaluate, knn, search
 from quillon.operators.shared import settings
 from quillon.plans import registry
 from quillon.sources.payload import decoded
@@ -290,3 +290,20 @@ def test_every_order_is_scored(spark):
     found = registry.QUERIES["fraud_score"](spark, SMALL).orderBy("qid").collect()
     assert len(found) == len(fraud) > 20
     assert [(r["qid"], r["fraud_count"], r["approved"], r["fraud_score"]) for r in found] == [(q, n, n < 3, n / 5) for q, n in zip(made["qid"], counts, strict=True)]
+
+
+@pytest.mark.parametrize("most, kept", [(32767, 2), (32768, 4)])
+def test_queries_are_sent_narrow_where_they_fit(most, kept):
+    q = np.array([[-32768, 0, 5], [1, most, -7]], np.int32)
+    sent = blocks._narrow(q).tobytes()
+    assert len(sent) == kept * q.size
+    got = blocks._wide(sent, 2, 3)
+    assert got.dtype == np.int32 and (got == q).all()
+
+
+def test_wide_values_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "REF_BLOCK", 500)
+    v = np.random.default_rng(9).integers(-50000, 50001, (3000, 14))
+    refs = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "idx long, v array<int>, fraud int")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[::60])], "qid long, v array<int>")
+    assert sorted((r["qid"], r["rank"], r["idx"]) for r in knn.nearest(q, refs).collect()) == brute(v, v[::60])
